@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import bpe, mixing, repetition
+from helixframe.llm import bpe, mixing, repetition, store, warc
 from helixframe.llm.text import table
+from helixframe.scratch import scratch_path
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,16 +18,29 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bpe.ids_text(F.col("ids")).cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    path = scratch_path(spark, "warc")
+    warc.write(pages.select(F.col("page_id").alias("key"), F.col("url").alias("uri"), warc.payload_of("html").alias("payload")), path)
+    return warc.read(spark, path).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "store")
+    store.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end=2)
+    return store.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.totals(table(spark, sf_dir, "documents"))
 
 
 def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = repetition.verdict(repetition.measures(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_covered", "longest_repeat")
+    return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_covered")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op8_mixing, op10_repetition)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_warc, op6_token_store, op8_mixing, op10_repetition)}
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
@@ -52,4 +66,20 @@ b AS (
   FROM w LEFT JOIN r USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id))
 """
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha256(html) AS payload_digest, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= {warc.LEAST_REVISIT} AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= {warc.LEAST_REVISIT} AND page_id <> first THEN first END AS refers_to
+FROM d""",
+    "op10_repetition": _OP10
+    + f"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < {repetition.LEAST_WORDS} OR 100 * n_repeat_words > {round(100 * repetition.MOST_REPEATED)} * n_words AS base_failed,
+  NOT (n_words < {repetition.LEAST_WORDS} OR 100 * n_repeat_words > {round(100 * repetition.MOST_REPEATED)} * n_words)
+    AND n_covered <= {repetition.MOST_COVERED} * n_words AND NOT long_repeat AS kept,
+  n_covered
+FROM b""",
+}
