@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import bpe, mixing, repetition, store, warc
+from helixframe.llm import bpe, mixing, repetition, simhash, store, warc
 from helixframe.llm.text import table
 from helixframe.scratch import scratch_path
 
@@ -35,12 +35,16 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.totals(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.compared(table(spark, sf_dir, "documents"))
+
+
 def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = repetition.verdict(repetition.measures(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_covered")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_warc, op6_token_store, op8_mixing, op10_repetition)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_warc, op6_token_store, op8_mixing, op9_simhash, op10_repetition)}
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
