@@ -1,16 +1,15 @@
 """Byte-level BPE: encoding by length-bucketed padded matrices in numpy, and exact decoding.
 
-Texts are cut at spaces that are followed by a character that isn't white space. The token pattern always
-starts a new match at such a space, so the pieces can be encoded on their own, and each distinct piece is
-encoded once for each worker while it is kept. New pieces are split by the pattern, and all distinct matches
-are merged together: matches of similar length stand in the rows of one padded matrix, each round merges in
-every row the leftmost pair of least rank, and rows without a pair leave the matrix."""
+Texts are split into the matches of the token pattern, and each distinct match is encoded once for each worker while it
+is kept. New matches are merged together: those of similar length stand in the rows of one padded matrix, each
+round merges in every row the leftmost pair of least rank, ranks come from a hash table of pairs, and rows without
+a pair leave the matrix."""
 
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.text import mix, slices
+from helixframe.llm.text import BEYOND, Lists, Numbered, latin_pattern, mix, slices
 
 NONE = np.int32(2**31 - 1)
 
@@ -66,13 +65,13 @@ class PairTable:
 class Codec:
     """``vocabulary``: path of a file of lines "base64(token) rank" that holds every single byte; ``pattern``: the token pattern.
 
-    At most ``kept`` distinct pieces stay encoded; ``cells`` bounds a padded matrix."""
+    About ``kept`` distinct matches stay encoded; ``cells`` bounds a padded matrix."""
 
-    def __init__(self, vocabulary: str, pattern: str, kept: int = 200_000, cells: int = 1 << 20):
+    def __init__(self, vocabulary: str, pattern: str, kept: int = 400_000, cells: int = 1 << 20):
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.pairs = PairTable(ranks)
-        self.pattern, self.kept, self.cells = regex.compile(pattern), kept, cells
+        self.pattern, self.latin, self.kept, self.cells = regex.compile(pattern), latin_pattern(pattern), kept, cells
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
@@ -80,18 +79,17 @@ class Codec:
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-        self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.index, self.ids = Numbered(), Lists(np.int32)
 
     # -- merging ---------------------------------------------------------------------------------------------
 
-    def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each byte string, merged as one match."""
-        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
+    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the byte strings, each merged as one match, one after another; and how many ids each has."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
+        counts = np.zeros(len(words), np.int64)
         order = np.argsort(sizes, kind="stable")
         start = int(np.searchsorted(sizes[order], 1))
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
         while start < len(order):
             # a bucket: lengths up to a quarter over the shortest, and no more cells than the bound
             least = int(sizes[order[start]])
@@ -99,12 +97,19 @@ class Codec:
             width = int(sizes[order[end - 1]])
             end = min(end, start + max(1, self.cells // width))
             rows = order[start:end]
-            for r, ids in self._merge_bucket([words[i] for i in rows]):
-                out[rows[r]] = ids
+            for own, ids, size in self._merge_bucket([words[i] for i in rows]):
+                counts[rows[own]] = size
+                parts.append((rows[own], ids))
             start = end
-        return out
-
-    def _merge_bucket(self, words: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
+        ends = np.cumsum(counts)
+        flat = np.zeros(int(ends[-1]) if len(ends) else 0, np.int32)
+        for rows, ids in parts:
+            n = counts[rows]
+            flat[np.repeat(ends[rows] - np.cumsum(n), n) + np.arange(len(ids))] = ids
+        return flat, counts
+
+    def _merge_bucket(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, their ids, their numbers of ids) as rows come to their end."""
         width = max(map(len, words))
         raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(len(words), width)
         size = np.fromiter(map(len, words), np.int64, len(words))
@@ -119,8 +124,8 @@ class Codec:
             else:
                 done = np.ones(len(row), bool)
             if done.any():
-                for r in np.flatnonzero(done):
-                    yield int(row[r]), ids[r, : size[r]].copy()
+                ended = ids[done]
+                yield row[done], ended[ended >= 0], size[done]
                 keep = ~done
                 if not keep.any():
                     return
@@ -197,56 +202,19 @@ class Codec:
 
     # -- texts -----------------------------------------------------------------------------------------------
 
-    def _learn(self, new: list[str]) -> None:
-        """Encodes new distinct pieces and appends them to the kept ones."""
-        matches = [self.pattern.findall(p) for p in new]
-        distinct = {m: i for i, m in enumerate(dict.fromkeys(m for ms in matches for m in ms))}
-        ids = self.merge([m.encode() for m in distinct])
-        parts = [np.concatenate([ids[distinct[m]] for m in ms]) if ms else np.zeros(0, np.int32) for ms in matches]
-        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-        first, total = len(self.index) - len(new), int(lengths.sum())
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.int32)])
-        while first + len(new) > len(self.starts):
-            self.starts, self.lengths = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.starts, self.lengths))
-        self.flat[self.used : self.used + total] = np.concatenate(parts) if parts else []
-        self.starts[first : first + len(new)] = self.used + np.cumsum(lengths) - lengths
-        self.lengths[first : first + len(new)] = lengths
-        self.used += total
-
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and the number of ids of each text."""
         if len(self.index) > self.kept:
             self._clear()
-        pieces: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            if ODD_SPACE.search(t):
-                own = CUT.split(t)
-            else:
-                own = t.split(" ")
-            if len(own) > 1:
-                own[1:] = [" " + p for p in own[1:]]
-            if own and not own[0]:
-                own = own[1:]
-            counts[i] = len(own)
-            pieces += own
-        index, new = self.index, []
-        at = np.zeros(len(pieces), np.int64)
-        for j, p in enumerate(pieces):
-            k = index.get(p)
-            if k is None:
-                index[p] = k = len(index)
-                new.append(p)
-            at[j] = k
-        if new:
-            self._learn(new)
-        lengths = self.lengths[at]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        where = np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(total)
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        return self.flat[where], np.diff(bounds)
+        matches = [(self.pattern if BEYOND.search(t) else self.latin).findall(t) for t in texts]
+        counts = np.fromiter(map(len, matches), np.int64, len(texts))
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(matches)), np.int64, int(counts.sum()))
+        if new := self.index.new:
+            self.ids.append(*self.merge([m.encode() for m in new]))
+            self.index.new = []
+        flat, lengths = self.ids.gather(at)
+        bounds = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
+        return flat, np.diff(bounds)
 
     def encode(self, text: str) -> list[int]:
         return self.encode_batch([text])[0].tolist()
@@ -263,9 +231,6 @@ class Codec:
         raise ValueError(f"id {i} is not in the vocabulary")
 
 
-#: A space that isn't followed by a word's character: texts that have one are cut by the second pattern.
-ODD_SPACE, CUT = re.compile(r" (?=\s|$)"), re.compile(r" (?=\S)")
-
 _CODECS: dict[tuple[str, str], Codec] = {}
 
 
