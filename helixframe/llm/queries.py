@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import bpe, mixing, repetition, simhash, store, warc
+from helixframe.llm import bpe, language, mixing, quality, repetition, simhash, store, warc
 from helixframe.llm.text import table
 from helixframe.scratch import scratch_path
 
@@ -25,12 +25,25 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, path).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, net, keep=["doc_id"])
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "store")
     store.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end=2)
     return store.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.train(docs.where(~language.apart(F.col("doc_id"))))
+    return language.predict(docs, model, keep=["doc_id"]).select("doc_id", language.apart(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.totals(table(spark, sf_dir, "documents"))
 
@@ -44,7 +57,7 @@ def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_covered")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_warc, op6_token_store, op8_mixing, op9_simhash, op10_repetition)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_warc, op5_quality, op6_token_store, op7_language, op8_mixing, op9_simhash, op10_repetition)}
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
