@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import bpe, language, mixing, quality, repetition, simhash, store, substrings, warc
+from helixframe.llm import bpe, language, mixing, ngrams, quality, repetition, simhash, store, substrings, warc
 from helixframe.llm.text import table
 from helixframe.scratch import scratch_path
 
@@ -25,6 +25,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, path).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.join(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removed(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -61,7 +65,7 @@ def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_covered")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_warc, op4_substrings, op5_quality, op6_token_store, op7_language, op8_mixing, op9_simhash, op10_repetition)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_warc, op3_ngram_jaccard, op4_substrings, op5_quality, op6_token_store, op7_language, op8_mixing, op9_simhash, op10_repetition)}
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
