@@ -286,5 +286,5 @@ def one_of_each(df: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -
     h = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     empty = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     rows = df.withColumns({"__d": F.col("doc_id").cast("long"), "__h": h, "__free": empty | F.col("doc_id").isNull()})
-    kept = rows.where("not __free").join(first.hint("merge"), ["__d", "__h"]).dropDuplicates(["__d"])
+    kept = rows.where("not __free").join(first.hint("merge"), ["__d", "__h"]).dropDuplicates(["__d", "__h"])
     return rows.where("__free").select(*[f"`{c}`" for c in df.columns]).unionByName(kept.select(*[f"`{c}`" for c in df.columns]))
