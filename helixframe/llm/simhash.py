@@ -23,8 +23,9 @@ _PAIR = 0x0000000100000001
 
 def terms(text: Column) -> Column:
     """Hashes of the terms of a text: array<long>, one for each word."""
-    words = F.split(text, r"[\x20\x09-\x0D]+")
-    return F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1)))
+    words = F.array(F.split(text, r"[\x20\x09-\x0D]+"))
+    # the outer function only binds the words, which would else be split anew for each of them
+    return F.get(F.transform(words, lambda ws: F.transform(ws, lambda w, i: F.xxhash64(w, F.get(ws, i + 1)))), F.lit(0))
 
 
 def votes(hashed: Column) -> list[Column]:
@@ -50,13 +51,13 @@ def likeness(a: Column, b: Column) -> Column:
     return (BITS - F.bit_count(a.bitwiseXOR(b))) / F.lit(float(BITS))
 
 
-def fingerprints(df: DataFrame, key: str, texts: list[str]) -> DataFrame:
-    """key and a long fp_<column> for each of the text columns; ``key`` must be unique. Where ``df`` is already dealt out by
-    ``key``, nothing is shuffled; else a row for each key and column is."""
+def fingerprints(df: DataFrame, key: list[str], texts: list[str]) -> DataFrame:
+    """The columns ``key`` and a long fp_<column> for each of the text columns; ``key`` must be unique. Where ``df`` is already dealt
+    out by ``key``, nothing is shuffled; else a row for each key and column is."""
     sides = F.array(*[F.struct(F.lit(i).alias("side"), F.col(t).alias("text")) for i, t in enumerate(texts)])
-    each = df.select(key, F.explode(sides).alias("s")).select(key, "s.side", F.explode(terms(F.col("s.text"))).alias("t"))
-    one = each.groupBy(key, "side").agg(*votes(F.col("t"))).select(key, "side", decided().alias("fp"))
-    return one.groupBy(key).agg(*[F.max(F.when(F.col("side") == i, F.col("fp"))).alias(f"fp_{t}") for i, t in enumerate(texts)])
+    each = df.select(*key, F.explode(sides).alias("s")).select(*key, "s.side", F.explode(terms(F.col("s.text"))).alias("t"))
+    one = each.groupBy(*key, "side").agg(*votes(F.col("t"))).select(*key, "side", decided().alias("fp"))
+    return one.groupBy(*key).agg(*[F.max(F.when(F.col("side") == i, F.col("fp"))).alias(f"fp_{t}") for i, t in enumerate(texts)])
 
 
 def tables(fps: DataFrame, fp: str = "fp", radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
@@ -79,55 +80,64 @@ def near(queries: DataFrame, fps: DataFrame, radius: int = RADIUS, blocks: int =
     return q.join(x.hint("merge"), ["table", "bits"]).where(distance <= radius).select("query", "fp", distance.alias("distance")).distinct()
 
 
+#: A document's key in plain columns that are never null: whether doc_id is, doc_id or 0, the text's hash.
+KEY = ["nul", "a", "h"]
+
+
+def _keyed(df: DataFrame) -> DataFrame:
+    rows = df.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.select(F.col("doc_id").isNull().alias("nul"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("a"), F.xxhash64("text").alias("h"), "text")
+
+
 def _chain(keys: DataFrame) -> DataFrame:
-    """For rows (key, n), key = struct(doc_id, hash): next and previous in descending order of doc_id (nulls last, then
+    """For rows of KEY and n: the key and n of the next and the previous one in descending order of doc_id (nulls last, then by
     hash), the last meeting the first. Rows are sorted in ranges; only the ends of ranges meet in one task."""
-    dealt = materialize(keys.withColumn("k", F.col("key.doc_id")).repartitionByRange(F.col("k").desc_nulls_last()).withColumn("part", F.spark_partition_id()).drop("k"), "simhash-order")
-    order = [F.col("key.doc_id").desc_nulls_last(), F.col("key.h").asc()]
-    row = F.struct("key", "n")
-    inside = Window.partitionBy("part").orderBy(*order)
-    linked = dealt.withColumns({"next": F.lead(row).over(inside), "prev": F.lag(row).over(inside), "__r": F.row_number().over(inside)})
-    firsts = linked.where("__r = 1").select("part", row.alias("first"))
-    lasts = linked.where("next is null").select("part", row.alias("last"))
-    ends = firsts.join(lasts, "part")
-    every = Window.partitionBy(F.lit(0))
-    across = every.orderBy("part")
-    ends = ends.select("part", F.coalesce(F.lead("first").over(across), F.first("first").over(across)).alias("after"), F.coalesce(F.lag("last").over(across), F.last("last").over(across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"))
-    both = linked.join(F.broadcast(ends), "part")  # a row for each range: as many as shuffle partitions
-    return both.select("key", "n", F.coalesce("next", "after").alias("next"), F.coalesce("prev", "before").alias("prev"))
+    dealt = keys.repartitionByRange(F.col("nul"), F.col("a").desc()).withColumn("part", F.spark_partition_id())
+    dealt = materialize(dealt, "simhash-order")
+    row = F.struct(*KEY, "n")
+    inside = Window.partitionBy("part").orderBy(F.col("nul"), F.col("a").desc(), F.col("h"))
+    linked = materialize(dealt.select("part", row.alias("own"), F.lead(row).over(inside).alias("next"), F.lag(row).over(inside).alias("prev")), "simhash-links")
+    # one row for each range that has rows: as many as shuffle partitions
+    ends = linked.groupBy("part").agg(F.first(F.when(F.col("prev").isNull(), F.col("own")), True).alias("first"), F.first(F.when(F.col("next").isNull(), F.col("own")), True).alias("last"))
+    order = Window.partitionBy(F.lit(0)).orderBy("part")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after, before = F.coalesce(F.lead("first").over(order), F.first("first").over(whole)), F.coalesce(F.lag("last").over(order), F.last("last").over(whole))
+    both = linked.join(F.broadcast(ends.select("part", after.alias("after"), before.alias("before"))), "part")
+    both = both.select("own", F.coalesce("next", "after").alias("next"), F.coalesce("prev", "before").alias("prev"))
+    flat = [F.col(f"own.{c}").alias(c) for c in (*KEY, "n")] + [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("next", "prev") for c in (*KEY, "n")]
+    return materialize(both.select(*flat), "simhash-chain")
 
 
 def edited(df: DataFrame) -> DataFrame:
-    """key (struct of doc_id and the text's hash), n_chars, next_key, text, edited: the last floor(n/3) code points of
-    each text replaced by the first as many (or all) of the next document, in descending order of doc_id; after the last
-    comes the first. Null texts are empty; a null doc_id comes last. Rows that repeat a doc_id are ordered by their texts'
-    hashes; rows equal in both count as one document. Texts are shuffled once, and the third that is passed on again."""
-    rows = df.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    keyed = rows.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key"), "text")
-    chain = _chain(keyed.select("key", F.length("text").alias("n")).distinct())
-    own = keyed.join(chain.hint("merge"), "key")
-    own = own.withColumn("__r", F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0)))).where("__r = 1").drop("__r")
-    tails = own.select(F.col("prev.key").alias("key"), F.expr("substring(text, 1, cast(floor(prev.n / 3) as int))").alias("tail"))
-    joined = own.join(tails.hint("merge"), "key")
+    """KEY, n, next_ KEY, text, edited: the last floor(n/3) code points of each text replaced by the first as many (or all) of the
+    next document, in descending order of doc_id; after the last comes the first. Null texts are empty; a null doc_id
+    comes last. Rows that repeat a doc_id are ordered by their texts' hashes; rows equal in both count as one document.
+    Texts are shuffled once, and the third that is passed on again."""
+    keyed = _keyed(df)
+    chain = _chain(keyed.select(*KEY, F.length("text").alias("n")).distinct())
+    own = keyed.join(chain.hint("merge"), KEY)
+    own = own.withColumn("__r", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.lit(0)))).where("__r <= 1").drop("__r")
+    tails = own.select(*[F.col(f"prev_{c}").alias(c) for c in KEY], F.expr("substring(text, 1, cast(floor(prev_n / 3) as int))").alias("tail"))
+    joined = own.join(tails.hint("merge"), KEY)
     kept = F.expr("substring(text, 1, n - cast(floor(n / 3) as int))")
-    return joined.select("key", F.col("n").cast("long").alias("n_chars"), F.col("next.key").alias("next_key"), "text", F.concat(kept, "tail").alias("edited"))
+    return joined.select(*KEY, F.col("n").cast("long").alias("n_chars"), *[f"next_{c}" for c in KEY], "text", F.concat(kept, "tail").alias("edited"))
 
 
 def compared(df: DataFrame, every: int = 20) -> DataFrame:
     """The fingerprints of all documents, of their edited texts and of the next documents with their likeness; n_near, for
     documents whose doc_id is divisible by ``every``: how many other documents have a fingerprint within RADIUS."""
     both = edited(df)
-    fps = fingerprints(both, "key", ["text", "edited"])
-    rows = both.select("key", "n_chars", "next_key", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")).join(fps.hint("merge"), "key")
+    fps = fingerprints(both, KEY, ["text", "edited"])
+    rows = both.select(*KEY, "n_chars", *[f"next_{c}" for c in KEY], F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")).join(fps.hint("merge"), KEY)
     rows = materialize(rows, "simhash-rows")
-    after = rows.select(F.col("key").alias("next_key"), F.col("fp_text").alias("fp_next"))
-    out = rows.join(after.hint("merge"), "next_key")
-    asked = F.col("key.doc_id") % every == 0
+    after = rows.select(*[F.col(c).alias(f"next_{c}") for c in KEY], F.col("fp_text").alias("fp_next"))
+    out = rows.join(after.hint("merge"), [f"next_{c}" for c in KEY])
+    asked = ~F.col("nul") & (F.col("a") % every == 0)
     counts = rows.groupBy(F.col("fp_text").alias("fp")).agg(F.count("*").alias("n"))
     found = near(rows.where(asked).select(F.col("fp_text").alias("fp")), counts).join(counts.hint("merge"), "fp")
     found = found.groupBy(F.col("query").alias("fp_text")).agg((F.sum("n") - 1).alias("found"))
     out = out.join(found.hint("merge"), "fp_text", "left")
     return out.select(
-        F.col("key.doc_id").alias("doc_id"), "n_chars", "edited_sha256", text_of(F.col("fp_text")).alias("fingerprint"), text_of(F.col("fp_edited")).alias("edited_fingerprint"),
+        F.when(~F.col("nul"), F.col("a")).alias("doc_id"), "n_chars", "edited_sha256", text_of(F.col("fp_text")).alias("fingerprint"), text_of(F.col("fp_edited")).alias("edited_fingerprint"),
         likeness(F.col("fp_text"), F.col("fp_edited")).alias("near_edited"), likeness(F.col("fp_text"), F.col("fp_next")).alias("near_next"), F.when(asked, F.col("found")).alias("n_near"),
     )

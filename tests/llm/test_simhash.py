@@ -52,7 +52,7 @@ def test_votes(spark):
     hashes = [spark.range(1).select(F.xxhash64(F.lit(w), F.lit(n).cast("string"))).first()[0] for w, n in zip(words, [*words[1:], None], strict=True)]
     want = sum((2 * sum(h >> i & 1 for h in hashes) > len(hashes)) << i for i in range(64))
     df = spark.createDataFrame([(1, text)], "k long, text string")
-    assert simhash.fingerprints(df, "k", ["text"]).first().fp_text % 2**64 == want
+    assert simhash.fingerprints(df, ["k"], ["text"]).first().fp_text % 2**64 == want
 
 
 def test_all_within_the_radius_are_found(spark):
