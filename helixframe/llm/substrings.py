@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.text import Hashes, grams, mix, slices
+from helixframe.llm.text import grams, hash_words, mix, slices
 from helixframe.scratch import materialize
 
-WINDOW, ANCHOR = 13, 6
+WINDOW, ANCHOR = 13, 8
 #: Bits of a block of the Bloom filter; most blocks (64 MB in all); bits for each anchor below that; bits set for each.
 BLOCK_BITS, MOST_BLOCKS, BITS_EACH, PROBES = 1 << 19, 1024, 16, 4
 
@@ -99,29 +99,24 @@ def window_anchors(words: np.ndarray, doc: np.ndarray, window: int = WINDOW, k:
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     g = grams(words, k)
-    least = g[:n].copy()
-    for j in range(1, window - k + 1):
-        np.minimum(least, g[j : j + n], out=least)
+    least, span, width = g, 1, window - k + 1
+    while span < width:  # minima of twice as many, or of as many as are missing
+        step = min(span, width - span)
+        least = np.minimum(least[: len(least) - step], least[step:])
+        span += step
     inside = np.flatnonzero(doc[:n] == doc[window - 1 :])
     return inside, least[inside]
 
 
-def _hashed(texts: list[bytes], hashes: Hashes) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    words = [t.split() for t in texts]
-    n = np.fromiter(map(len, words), np.int64, len(words))
-    return words, hashes.of([w for ws in words for w in ws]), np.repeat(np.arange(len(words)), n)
-
-
 def _anchors(rows: DataFrame) -> DataFrame:
     """anchor: each document's distinct ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for batch in batches:
             for _, texts in slices(batch, "text"):
-                _, h, doc = _hashed([t or b"" for t in texts], hashes)
-                at, anchor = window_anchors(h, doc)
-                d = doc[at]
+                words = hash_words(texts)
+                at, anchor = window_anchors(words.hashes, words.doc)
+                d = words.doc[at]
                 first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (d[1:] != d[:-1])])) if len(at) else at
                 a, d = anchor[first], d[first]
                 o = np.lexsort((a, d))
@@ -152,9 +147,9 @@ class Bloom:
         return out
 
 
-def _bloom(shared: DataFrame) -> Bloom:
-    """A filter of the anchors; at most MOST_BLOCKS blocks come to the driver. With more anchors than it can tell apart, more
-    windows go on than need to, and none is lost."""
+def bloom(shared: DataFrame) -> Bloom:
+    """A filter of the one long column of ``shared``; at most MOST_BLOCKS blocks come to the driver. With more values than it can tell apart, more
+    rows pass than need to, and none is lost."""
     blocks = 1
     while blocks < MOST_BLOCKS and blocks * BLOCK_BITS < BITS_EACH * shared.count():
         blocks *= 2
@@ -173,7 +168,7 @@ def _bloom(shared: DataFrame) -> Bloom:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["block", "bits"])
 
     bits = np.zeros(blocks * BLOCK_BITS // 8, np.uint8)
-    for r in shared.repartition(F.col("anchor").bitwiseAND(F.lit(blocks - 1))).mapInArrow(run, "block int, bits binary").toLocalIterator():
+    for r in shared.repartition(F.col(shared.columns[0]).bitwiseAND(F.lit(blocks - 1))).mapInArrow(run, "block int, bits binary").toLocalIterator():
         bits[r.block * (BLOCK_BITS // 8) :][: BLOCK_BITS // 8] = np.frombuffer(r.bits, np.uint8)
     return Bloom(blocks, bits)
 
@@ -181,16 +176,16 @@ def _bloom(shared: DataFrame) -> Bloom:
 _SEGMENT = "doc_id long, h long, start int, text string"
 
 
-def _segments(rows: DataFrame, bloom: Bloom) -> DataFrame:
+def _segments(rows: DataFrame, passing: Bloom) -> DataFrame:
     """The parts of each document whose windows all have an anchor in the filter: start (its first word), text."""
-    known = rows.sparkSession.sparkContext.broadcast((bloom.blocks, bloom.bits))
+    known = rows.sparkSession.sparkContext.broadcast((passing.blocks, passing.bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, own = Hashes(), Bloom(*known.value)
+        own = Bloom(*known.value)
         for batch in batches:
             for part, texts in slices(batch, "text"):
-                words, h, doc = _hashed([t or b"" for t in texts], hashes)
-                at, anchor = window_anchors(h, doc)
+                words = hash_words(texts)
+                at, anchor = window_anchors(words.hashes, words.doc)
                 if not len(at):
                     continue
                 new = np.concatenate([[True], anchor[1:] != anchor[:-1]])
@@ -198,15 +193,13 @@ def _segments(rows: DataFrame, bloom: Bloom) -> DataFrame:
                 at = at[has]
                 if not len(at):
                     continue
-                d = doc[at]
+                d = words.doc[at]
                 cut = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (d[1:] != d[:-1])]))
-                base = np.searchsorted(doc, np.arange(len(words)))
-                first, last, of = at[cut], at[np.concatenate([cut[1:] - 1, [len(at) - 1]])], d[cut]
-                starts = (first - base[of]).tolist()
-                ends = (last - base[of] + WINDOW).tolist()
-                text = [b" ".join(words[i][a:b]).decode() for i, a, b in zip(of.tolist(), starts, ends, strict=True)]
+                first, end, of = at[cut], at[np.concatenate([cut[1:] - 1, [len(at) - 1]])] + WINDOW, d[cut]
+                starts = first - words.bounds[of]
+                text = [words.text(a, b) for a, b in zip(first.tolist(), end.tolist(), strict=True)]
                 rows_of = part.select(["doc_id", "h"]).take(pa.array(of))
-                yield pa.RecordBatch.from_arrays([*rows_of.columns, pa.array(starts, pa.int32()), pa.array(text)], names=["doc_id", "h", "start", "text"])
+                yield pa.RecordBatch.from_arrays([*rows_of.columns, pa.array(starts.astype(np.int32)), pa.array(text)], names=["doc_id", "h", "start", "text"])
 
     return rows.select("doc_id", "h", "text").mapInArrow(run, _SEGMENT)
 
@@ -215,13 +208,11 @@ def _windows(segments: DataFrame) -> DataFrame:
     """w (the hash of a window), doc_id, seg, off (its place in the segment)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for batch in batches:
             for part, texts in slices(batch, "text"):
-                words, h, doc = _hashed(texts, hashes)
-                w = grams(h, WINDOW)
-                at = np.flatnonzero(doc[: len(w)] == doc[WINDOW - 1 :])
-                base = np.searchsorted(doc, np.arange(len(words)))
+                words = hash_words(texts)
+                w, doc, base = grams(words.hashes, WINDOW), words.doc, words.bounds
+                at = np.flatnonzero(doc[: len(w)] == doc[WINDOW - 1 :]) if len(w) else np.zeros(0, np.int64)
                 of = doc[at]
                 for a in range(0, len(at), 1 << 18):
                     b = slice(a, a + (1 << 18))
@@ -279,21 +270,21 @@ def _matched(pairs: DataFrame) -> DataFrame:
     return pairs.select("ref", "passages", "doc_id", "h", "start", "text").mapInArrow(run, "doc_id long, h long, start int, end int")
 
 
-def with_spans(df: DataFrame) -> DataFrame:
-    """Adds spans (array of struct<start, end>, in words; null: none): each word of the text that is covered by a window of
+def with_spans(df: DataFrame, out: str = "spans") -> DataFrame:
+    """Adds ``out`` (array of struct<start, end>, in words; null: none): each word of the text that is covered by a window of
     WINDOW words whose words also stand, in this order, in a document with a smaller doc_id. Texts are judged as they are
-    given, not by what is left of them. ``df`` has doc_id and text; a column named spans is replaced.
+    given, not by what is left of them. ``df`` has doc_id and text; a column named as ``out`` is replaced.
 
     Null texts have no words. Rows with a null doc_id aren't compared with others. Rows that share a doc_id don't count as
     earlier than each other. Every row stays; an empty table gives an empty one.
 
     Hot windows are summed up before the shuffle; in the joins, adaptive execution splits keys with many rows. A task
     holds one document's passages at a time."""
-    kept = [c for c in df.columns if c != "spans"]
+    kept = [c for c in df.columns if c != out]
     h = F.xxhash64(F.col("text"))
     rows = df.select(F.col("doc_id").cast("long"), h.alias("h"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     shared = materialize(_anchors(rows).groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
-    segments = materialize(_segments(rows, _bloom(shared)).withColumn("seg", F.monotonically_increasing_id()), "segments")
+    segments = materialize(_segments(rows, bloom(shared)).withColumn("seg", F.monotonically_increasing_id()), "segments")
     windows = _windows(segments)
     first = windows.groupBy("w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     found = windows.drop("doc_id").join(first.hint("merge"), "w").groupBy("seg").agg(F.collect_list(F.struct("off", "first")).alias("found"))
@@ -301,8 +292,8 @@ def with_spans(df: DataFrame) -> DataFrame:
     shards = runs.where("own").groupBy("ref").agg(F.collect_set("text").alias("passages"))
     spans = _matched(runs.where("not own").join(shards.hint("merge"), "ref"))
     spans = spans.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    own = spans.select(F.struct("doc_id", "h").alias("__k"), "spans")
-    return df.select(*[F.col(f"`{c}`") for c in kept], F.struct(F.col("doc_id").cast("long").alias("doc_id"), h.alias("h")).alias("__k")).join(own.hint("merge"), "__k", "left").select(*kept, "spans")
+    own = spans.select(F.struct("doc_id", "h").alias("__k"), F.col("spans").alias(out))
+    return df.select(*[F.col(f"`{c}`") for c in kept], F.struct(F.col("doc_id").cast("long").alias("doc_id"), h.alias("h")).alias("__k")).join(own.hint("merge"), "__k", "left").select(*[F.col(f"`{c}`") for c in kept], out)
 
 
 def _kept(text: bytes, spans: list[dict]) -> tuple[int, list[tuple[int, int]]]:
@@ -366,4 +357,4 @@ def dedup(df: DataFrame) -> DataFrame:
                         columns.append(part.column(i))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return with_spans(df).mapInArrow(run, df.schema)
+    return with_spans(df, "__spans").mapInArrow(run, df.schema)

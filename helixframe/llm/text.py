@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,23 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-class Hashes(dict):
-    """64-bit hashes of words, kept while there are at most ``limit`` of them."""
-
-    def __init__(self, limit: int = 300_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit over all others."""
     x = x ^ (x >> np.uint64(30))
@@ -50,15 +34,85 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes that are hashed at once; a word that is longer is hashed alone.
+_BLOCK = 1 << 20
+_BASE = 0x9E3779B97F4A7C15 | 5
+_IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _GOLD)
+
+
+@dataclass
+class Words:
+    """The words of several texts: hashes; the number of each one's text; bounds of each in ``raw``."""
+
+    hashes: np.ndarray
+    doc: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    raw: bytes
+    bounds: np.ndarray  # the first word of each text, and the number of all words
+
+    def text(self, first: int, end: int) -> str:
+        """Words first .. end - 1, joined by one space."""
+        return b" ".join(self.raw[self.starts[first] : self.ends[end - 1]].split()).decode()
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    size = max(_BLOCK, n)
+    if size > _BLOCK:
+        return _powers(_BASE, size), _powers(pow(_BASE, -1, 2**64), size)
+    if not _POWERS:
+        _POWERS[0] = _powers(_BASE, size), _powers(pow(_BASE, -1, 2**64), size)
+    return _POWERS[0]
+
+
+def hash_words(texts: list[bytes | None]) -> Words:
+    """64-bit hashes of all words: a word's bytes, each by a fixed random number, in a polynomial, and its length. Sums run
+    along the bytes of all texts, so that no word is touched on its own."""
+    raw = b"\n".join(t or b"" for t in texts) + b"\n"
+    data = np.frombuffer(raw, np.uint8)
+    space = _IS_SPACE[data]
+    edges = np.flatnonzero(np.diff(space, prepend=True))
+    starts, ends = edges[::2], edges[1::2]
+    hashes = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        at = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, at + _BLOCK, side="right")))
+        up, down = _tables(int(ends[j - 1]) - at)
+        sums = np.cumsum(_BYTE[data[at : ends[j - 1]]] * up[: ends[j - 1] - at])
+        s, e = starts[i:j] - at, ends[i:j] - at
+        before = np.where(s > 0, sums[s - 1], np.uint64(0))
+        hashes[i:j] = (sums[e - 1] - before) * down[s] + (e - s).astype(np.uint64) * _M2
+        i = j
+    lengths = np.fromiter((len(t or b"") + 1 for t in texts), np.int64, len(texts))
+    first = np.cumsum(lengths) - lengths
+    doc = np.searchsorted(first, starts, side="right") - 1
+    return Words(mix(hashes), doc, starts, ends, raw, np.searchsorted(doc, np.arange(len(texts) + 1)))
+
+
+def _polynomials(words: np.ndarray, k: int) -> np.ndarray:
+    """sum(words[i + j] * GOLD ** (k - 1 - j)) for all i, from runs of half the length."""
+    if k == 1:
+        return words
+    if k % 2:
+        return _polynomials(words, k - 1)[:-1] * _GOLD + words[k - 1 :]
+    half = _polynomials(words, k // 2)
+    return half[: len(half) - k // 2] * np.uint64(pow(int(_GOLD), k // 2, 2**64)) + half[k // 2 :]
+
+
 def grams(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of ``k`` consecutive word hashes."""
-    n = len(words) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    for j in range(k):
-        h = h * _GOLD + words[j : j + n]
-    return mix(h)
+    return mix(_polynomials(words, k)) if len(words) >= k else np.zeros(0, np.uint64)
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
@@ -148,3 +202,43 @@ class Lists:
         where = np.repeat(self.ends[at] - np.cumsum(lengths), lengths)
         where += np.arange(len(where))
         return self.flat[where], lengths
+
+
+class Kept:
+    """Number lists of strings, such as their token ids, for the strings met most. ``make`` gives the lists of new strings, end to end,
+    and their lengths. When there are more than ``limit`` strings, the half of that number that were used most stay."""
+
+    def __init__(self, dtype, limit: int, make):
+        self.dtype, self.limit, self.make = dtype, limit, make
+        self.index, self.lists, self.uses = Numbered(), Lists(dtype), np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.index)
+
+    def numbers(self, strings, n: int) -> np.ndarray:
+        """The numbers of ``n`` strings, good until the next call."""
+        if len(self.index) > self.limit:
+            self._trim()
+        at = np.fromiter(map(self.index.__getitem__, strings), np.int64, n)
+        if new := self.index.new:
+            self.lists.append(*self.make(new))
+            self.index.new = []
+            self.uses = np.concatenate([self.uses, np.zeros(len(self.index) - len(self.uses), np.int64)])
+        self.uses += np.bincount(at, minlength=len(self.uses))
+        return at
+
+    def _trim(self) -> None:
+        stay = np.sort(np.argsort(-self.uses, kind="stable")[: self.limit // 2])
+        names = list(self.index)
+        lists = Lists(self.dtype)
+        lists.append(*self.lists.gather(stay))
+        index = Numbered()
+        index.update((names[k], i) for i, k in enumerate(stay.tolist()))
+        self.index, self.lists, self.uses = index, lists, self.uses[stay] // 2
+
+    def gather(self, strings_of: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """For several lists of strings: all their number lists end to end, and how many numbers each list of strings has."""
+        counts = np.fromiter(map(len, strings_of), np.int64, len(strings_of))
+        at = self.numbers(chain.from_iterable(strings_of), int(counts.sum()))
+        flat, lengths = self.lists.gather(at)
+        return flat, np.diff(np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])])

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from helixframe.llm import queries, substrings
-from helixframe.llm.text import Hashes
+from helixframe.llm.text import hash_words
 
 
 def _removed(rows, window=substrings.WINDOW):
@@ -47,9 +47,9 @@ def test_matching_statistics(passages, words):
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2), max_size=40), max_size=3))
 def test_equal_windows_have_equal_anchors(texts):
-    doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts]).astype(np.int64)
     words = [str(w).encode() for t in texts for w in t]
-    at, anchor = substrings.window_anchors(Hashes().of(words), doc)
+    hashed = hash_words([" \n".join(map(str, t)).encode() for t in texts])
+    at, anchor = substrings.window_anchors(hashed.hashes, hashed.doc)
     assert len(at) == sum(max(0, len(t) - substrings.WINDOW + 1) for t in texts)
     by = {}
     for i, a in zip(at.tolist(), anchor.tolist(), strict=True):
