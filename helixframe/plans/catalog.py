@@ -30,22 +30,21 @@ def query(sql: str | None = None, more: str = ""):
     return register
 
 
-S, Q, ID, O = F.col("seq"), F.col("qual"), F.col("id"), F.col("ordinal")  # noqa: E741
 AD0, AD1 = tails.ADAPTERS
 
 # -- variants of the reads, as both engines make them --------------------------------------------------------
 
 
 def odd_letters(r: DataFrame) -> DataFrame:
-    return r.withColumn("seq", F.when(O % 11 == 0, F.lower("seq")).when(O % 13 == 0, F.concat("seq", F.lit("X"))).otherwise(S))
+    return r.withColumn("seq", F.when(F.col("ordinal") % 11 == 0, F.lower("seq")).when(F.col("ordinal") % 13 == 0, F.concat("seq", F.lit("X"))).otherwise(F.col("seq")))
 
 
 ODD = "odd AS (SELECT ordinal, CASE WHEN ordinal % 11 = 0 THEN lower(seq) WHEN ordinal % 13 = 0 THEN seq || 'X' ELSE seq END AS seq FROM reads)"
 
 
 def tailed(r: DataFrame) -> DataFrame:
-    n = (21 + O % 9).cast("int")
-    return r.withColumn("seq", F.when(O % 7 == 0, F.concat("seq", F.repeat(F.lit("A"), n))).when(O % 7 == 1, F.concat("seq", F.repeat(F.lit("t"), F.lit(25)))).when(O % 7 == 2, F.concat("seq", F.lit("G" + "A" * 20))).otherwise(S))
+    n = (21 + F.col("ordinal") % 9).cast("int")
+    return r.withColumn("seq", F.when(F.col("ordinal") % 7 == 0, F.concat("seq", F.repeat(F.lit("A"), n))).when(F.col("ordinal") % 7 == 1, F.concat("seq", F.repeat(F.lit("t"), F.lit(25)))).when(F.col("ordinal") % 7 == 2, F.concat("seq", F.lit("G" + "A" * 20))).otherwise(F.col("seq")))
 
 
 TAILED = """tailed AS (SELECT ordinal, id, CASE ordinal % 7 WHEN 0 THEN seq || repeat('A', (21 + ordinal % 9)::INT) WHEN 1 THEN seq || repeat('t', 25) WHEN 2 THEN seq || 'G' || repeat('A', 20) ELSE seq END AS seq FROM reads),
@@ -53,8 +52,8 @@ tail AS (SELECT *, regexp_extract(upper(seq), '(A{21,}|T{21,})$', 1) AS t FROM t
 
 
 def adapted(r: DataFrame) -> DataFrame:
-    n = (10 + O % 10).cast("int")
-    return r.withColumn("seq", F.when(O % 6 == 0, F.concat("seq", F.substring(F.lit(AD0), F.lit(1), n))).when(O % 6 == 1, F.concat("seq", F.lower(F.substring(F.lit(AD1), F.lit(1), n)))).otherwise(S))
+    n = (10 + F.col("ordinal") % 10).cast("int")
+    return r.withColumn("seq", F.when(F.col("ordinal") % 6 == 0, F.concat("seq", F.substring(F.lit(AD0), F.lit(1), n))).when(F.col("ordinal") % 6 == 1, F.concat("seq", F.lower(F.substring(F.lit(AD1), F.lit(1), n)))).otherwise(F.col("seq")))
 
 
 _ADAPTED = f"adapted AS (SELECT ordinal, CASE ordinal % 6 WHEN 0 THEN seq || substr('{AD0}', 1, (10 + ordinal % 10)::INT) WHEN 1 THEN seq || lower(substr('{AD1}', 1, (10 + ordinal % 10)::INT)) ELSE seq END AS seq FROM reads)"
@@ -67,7 +66,7 @@ adapter AS (SELECT ordinal, seq, CASE WHEN n0 > 0 THEN 0 WHEN n1 > 0 THEN 1 ELSE
 def lanes(r: DataFrame) -> DataFrame:
     """R1 with tails on some reads, R2 from the contig's other end."""
     r1 = tailed(r).select(F.lit("R1").alias("lane"), "ordinal", "id", "seq", "qual")
-    name = F.when(O % 5 == 0, F.concat(ID, F.lit(" CB:Z:AC"))).when(O % 5 == 1, F.concat(ID, F.lit(" UMI:GT"))).otherwise(ID)
+    name = F.when(F.col("ordinal") % 5 == 0, F.concat(F.col("id"), F.lit(" CB:Z:AC"))).when(F.col("ordinal") % 5 == 1, F.concat(F.col("id"), F.lit(" UMI:GT"))).otherwise(F.col("id"))
     return r1.unionByName(r.select(F.lit("R2").alias("lane"), "ordinal", name.alias("id"), seq.reverse_complement(F.substring("contig", 41, 50)).alias("seq"), F.substring("qual", 1, 50).alias("qual")))
 
 
@@ -86,27 +85,27 @@ def reads_scan(r):
 
 @query("SELECT ordinal, id, seq FROM reads WHERE ordinal < 10000")
 def reads_first_n(r):
-    return r.where(O < 10000).select("ordinal", "id", "seq")
+    return r.where(F.col("ordinal") < 10000).select("ordinal", "id", "seq")
 
 
 @query("SELECT ordinal, contains(seq, 'N') AS has_n FROM reads")
 def has_n(r):
-    return r.select("ordinal", seq.has_n(S).alias("has_n"))
+    return r.select("ordinal", seq.has_n(F.col("seq")).alias("has_n"))
 
 
 @query("SELECT ordinal, regexp_matches(seq, '[^ACGTNacgtn\r\n ]') AS odd FROM odd", ODD)
 def alphabet_check(r):
-    return odd_letters(r).select("ordinal", seq.has_non_acgtn(S).alias("odd"))
+    return odd_letters(r).select("ordinal", seq.has_non_acgtn(F.col("seq")).alias("odd"))
 
 
 @query("SELECT ordinal, upper(seq) AS seq FROM odd", ODD)
 def upper_bases(r):
-    return odd_letters(r).select("ordinal", seq.upper_bases(S).alias("seq"))
+    return odd_letters(r).select("ordinal", seq.upper_bases(F.col("seq")).alias("seq"))
 
 
 @query(f"SELECT ordinal, {_RC('seq')} AS rc FROM reads")
 def revcomp(r):
-    return r.select("ordinal", seq.reverse_complement(S).alias("rc"))
+    return r.select("ordinal", seq.reverse_complement(F.col("seq")).alias("rc"))
 
 
 _KMERS = "k AS (SELECT ordinal, w FROM (SELECT ordinal, substr(seq, i::INT, 17) AS w FROM (SELECT ordinal, seq, unnest(range(1, length(seq) - 15, 10)) AS i FROM reads)) WHERE NOT regexp_matches(w, '[^ACGT]'))"
@@ -114,12 +113,12 @@ _KMERS = "k AS (SELECT ordinal, w FROM (SELECT ordinal, substr(seq, i::INT, 17)
 
 @query("SELECT ordinal, w AS kmer FROM k", _KMERS)
 def kmers_strided(r):
-    return r.select("ordinal", F.explode(seq.kmers(S, 10)).alias("kmer"))
+    return r.select("ordinal", F.explode(seq.kmers(F.col("seq"), 10)).alias("kmer"))
 
 
 @query(f"SELECT least(w, {_RC('w')}) AS kmer, count(*) AS n FROM k GROUP BY 1", _KMERS)
 def kmers_canonical(r):
-    return r.select(F.explode(seq.kmers(S, 10)).alias("w")).groupBy(seq.canonical(F.col("w")).alias("kmer")).agg(F.count("*").alias("n"))
+    return r.select(F.explode(seq.kmers(F.col("seq"), 10)).alias("w")).groupBy(seq.canonical(F.col("w")).alias("kmer")).agg(F.count("*").alias("n"))
 
 
 _SCALE = "!\"#$%&''()*+,-./0123456789:;<=>?@ABCDEFGHIJ"
@@ -128,36 +127,36 @@ _BINNED = "".join(chr(33 + (q if q < 2 else 6 if q < 10 else 15 if q < 20 else 2
 
 @query(f"SELECT ordinal, translate(qual, '{_SCALE}', '{_BINNED}') AS qual FROM reads")
 def quality_illumina8(r):
-    return r.select("ordinal", quality.illumina8(Q).alias("qual"))
+    return r.select("ordinal", quality.illumina8(F.col("qual")).alias("qual"))
 
 
 @query("SELECT ordinal, array_to_string(list_transform(string_split(qual, ''), lambda c: CASE WHEN ascii(c) < 53 THEN chr(39) ELSE chr(73) END), '') AS qual FROM reads")
 def quality_binary(r):
-    return r.select("ordinal", quality.binary(Q, 20, 40, 6).alias("qual"))
+    return r.select("ordinal", quality.binary(F.col("qual"), 20, 40, 6).alias("qual"))
 
 
 @query("SELECT ordinal, substr(seq, 1, length(seq) - length(t)) AS seq, length(t)::INT AS len, substr(t, 1, 1) AS base FROM tail", TAILED)
 def polyat_split(r):
-    i = tails.polyat_info(S)
-    return tailed(r).select("ordinal", tails.strip(S, i["len"]).alias("seq"), i["len"].alias("len"), i["base"].alias("base"))
+    i = tails.polyat_info(F.col("seq"))
+    return tailed(r).select("ordinal", tails.strip(F.col("seq"), i["len"]).alias("seq"), i["len"].alias("len"), i["base"].alias("base"))
 
 
 @query("SELECT ordinal, CASE WHEN t = '' THEN seq ELSE substr(seq, 1, length(seq) - length(t)) || t END AS seq FROM tail", TAILED)
 def polyat_restore(r):
-    cut = tailed(r).withColumn("info", tails.polyat_info(S)).select("ordinal", tails.strip(S, F.col("info.len")).alias("seq"), "info")
-    return cut.select("ordinal", tails.polyat_restore(S, F.col("info")).alias("seq"))
+    cut = tailed(r).withColumn("info", tails.polyat_info(F.col("seq"))).select("ordinal", tails.strip(F.col("seq"), F.col("info.len")).alias("seq"), "info")
+    return cut.select("ordinal", tails.polyat_restore(F.col("seq"), F.col("info")).alias("seq"))
 
 
 @query("SELECT ordinal, substr(seq, 1, length(seq) - overlap) AS seq, adapter, overlap FROM adapter", ADAPTED)
 def adapter_split(r):
-    i = tails.adapter_info(S)
-    return adapted(r).select("ordinal", tails.strip(S, i["overlap"]).alias("seq"), i["adapter"].alias("adapter"), i["overlap"].alias("overlap"))
+    i = tails.adapter_info(F.col("seq"))
+    return adapted(r).select("ordinal", tails.strip(F.col("seq"), i["overlap"]).alias("seq"), i["adapter"].alias("adapter"), i["overlap"].alias("overlap"))
 
 
 @query("SELECT ordinal, upper(seq) AS seq FROM adapted", _ADAPTED)
 def adapter_restore(r):
-    cut = adapted(r).withColumn("info", tails.adapter_info(S)).select("ordinal", tails.strip(S, F.col("info.overlap")).alias("seq"), "info")
-    return cut.select("ordinal", F.upper(tails.adapter_restore(S, F.col("info"))).alias("seq"))
+    cut = adapted(r).withColumn("info", tails.adapter_info(F.col("seq"))).select("ordinal", tails.strip(F.col("seq"), F.col("info.overlap")).alias("seq"), "info")
+    return cut.select("ordinal", F.upper(tails.adapter_restore(F.col("seq"), F.col("info"))).alias("seq"))
 
 
 @query("SELECT count(*) AS eligible, sum(overlap)::BIGINT AS stripped, count(*) >= 1024 AND sum(overlap) >= count(*) AS active FROM adapter WHERE NOT contains(seq, 'N')", ADAPTED)
@@ -167,7 +166,7 @@ def adapter_activation(r):
 
 @query("SELECT ordinal, substr(seq, 1, 16) AS cb_seq, substr(qual, 1, 16) AS cb_qual, substr(seq, 17) AS seq, substr(qual, 17) AS qual FROM reads")
 def barcode_split(r):
-    return r.select("ordinal", tails.barcode(S, 16).alias("cb_seq"), tails.barcode(Q, 16).alias("cb_qual"), tails.after_barcode(S, 16).alias("seq"), tails.after_barcode(Q, 16).alias("qual"))
+    return r.select("ordinal", tails.barcode(F.col("seq"), 16).alias("cb_seq"), tails.barcode(F.col("qual"), 16).alias("cb_qual"), tails.after_barcode(F.col("seq"), 16).alias("seq"), tails.after_barcode(F.col("qual"), 16).alias("qual"))
 
 
 @query("SELECT ordinal, seq, qual FROM reads")
@@ -177,7 +176,7 @@ def barcode_rejoin(r):
 
 @query("SELECT ordinal, contains(id, 'CB:Z:') AS cb, contains(id, 'UB:Z:') OR contains(id, 'UR:Z:') OR contains(id, 'UMI:') AS umi FROM lanes WHERE lane = 'R2'", LANES)
 def header_tags(r):
-    return lanes(r).where("lane = 'R2'").select("ordinal", ids.has_barcode_tag(ID).alias("cb"), ids.has_umi_tag(ID).alias("umi"))
+    return lanes(r).where("lane = 'R2'").select("ordinal", ids.has_barcode_tag(F.col("id")).alias("cb"), ids.has_umi_tag(F.col("id")).alias("umi"))
 
 
 # -- names and pairs -------------------------------------------------------------------------------------------
@@ -185,7 +184,7 @@ def header_tags(r):
 
 @query("SELECT ordinal, '@' || (ordinal + 1) || '/1' AS id_1, '@' || (ordinal + 1) || '/2' AS id_2 FROM reads")
 def synthetic_ids(r):
-    return r.select("ordinal", ids.synthetic(O, 1).alias("id_1"), ids.synthetic(O, 2).alias("id_2"))
+    return r.select("ordinal", ids.synthetic(F.col("ordinal"), 1).alias("id_1"), ids.synthetic(F.col("ordinal"), 2).alias("id_2"))
 
 
 _TOKENS = "tok AS (SELECT ordinal, regexp_extract_all(id, '([0-9A-Za-z]+|[^0-9A-Za-z]+)', 1) AS ts FROM reads), each AS (SELECT ordinal, unnest(range(1, len(ts) + 1)) AS i, ts FROM tok)"
@@ -193,20 +192,20 @@ _TOKENS = "tok AS (SELECT ordinal, regexp_extract_all(id, '([0-9A-Za-z]+|[^0-9A-
 
 @query("SELECT ordinal, (i - 1)::INT AS place, ts[i] AS token FROM each", _TOKENS)
 def id_tokens(r):
-    return r.select("ordinal", F.posexplode(ids.tokens(ID)).alias("place", "token"))
+    return r.select("ordinal", F.posexplode(ids.tokens(F.col("id"))).alias("place", "token"))
 
 
 @query("SELECT ordinal, v - lag(v) OVER (ORDER BY ordinal) AS delta FROM (SELECT ordinal, CASE WHEN regexp_matches(ts[4], '^(0|[1-9][0-9]{0,8})$') THEN ts[4]::BIGINT END AS v FROM tok)", _TOKENS.split(", each")[0])
 def id_numeric_delta(r):
-    rows = r.select("ordinal", ids.numeric(F.get(ids.tokens(ID), F.lit(3))).alias("v"))
+    rows = r.select("ordinal", ids.numeric(F.get(ids.tokens(F.col("id")), F.lit(3))).alias("v"))
     # the row before by an equi-join on the place, so that no task orders all rows
-    before = rows.select((O + 1).alias("ordinal"), F.col("v").alias("u"))
+    before = rows.select((F.col("ordinal") + 1).alias("ordinal"), F.col("v").alias("u"))
     return rows.join(before, "ordinal", "left").select("ordinal", (F.col("v") - F.col("u")).alias("delta"))
 
 
 def named_pairs(r: DataFrame) -> DataFrame:
-    a = F.when(O % 4 == 0, F.concat(F.lit("@P"), O.cast("string"), F.lit("/1"))).otherwise(ID)
-    b = F.when(O % 4 == 0, F.concat(F.lit("@P"), O.cast("string"), F.lit("/2"))).when(O % 4 == 1, ID).when(O % 4 == 2, F.replace(ID, F.lit(" 1:"), F.lit(" 2:"))).otherwise(F.concat(ID, F.lit("x")))
+    a = F.when(F.col("ordinal") % 4 == 0, F.concat(F.lit("@P"), F.col("ordinal").cast("string"), F.lit("/1"))).otherwise(F.col("id"))
+    b = F.when(F.col("ordinal") % 4 == 0, F.concat(F.lit("@P"), F.col("ordinal").cast("string"), F.lit("/2"))).when(F.col("ordinal") % 4 == 1, F.col("id")).when(F.col("ordinal") % 4 == 2, F.replace(F.col("id"), F.lit(" 1:"), F.lit(" 2:"))).otherwise(F.concat(F.col("id"), F.lit("x")))
     return r.select("ordinal", a.alias("a"), b.alias("b"))
 
 
@@ -225,7 +224,7 @@ def mate_id_rebuild(r):
 
 
 def indexed(r: DataFrame) -> DataFrame:
-    i1 = r.select("ordinal", F.when(O % 3 == 0, F.substring("contig", 1, 7)).otherwise(F.substring("contig", 1, 8)).alias("i1"))
+    i1 = r.select("ordinal", F.when(F.col("ordinal") % 3 == 0, F.substring("contig", 1, 7)).otherwise(F.substring("contig", 1, 8)).alias("i1"))
     return r.select("ordinal", "id").join(i1, "ordinal")
 
 
@@ -234,14 +233,14 @@ _INDEXED = "idx AS (SELECT ordinal, id, CASE WHEN ordinal % 3 = 0 THEN substr(co
 
 @query("SELECT ordinal, CASE WHEN ends_with(id, ':' || i1) THEN substr(id, 1, length(id) - length(i1)) ELSE id END AS id FROM idx", _INDEXED)
 def index_suffix_split(r):
-    return indexed(r).select("ordinal", ids.strip_index(ID, ids.index_suffix(F.col("i1"))).alias("id"))
+    return indexed(r).select("ordinal", ids.strip_index(F.col("id"), ids.index_suffix(F.col("i1"))).alias("id"))
 
 
 @query("SELECT ordinal, id FROM reads")
 def index_suffix_restore(r):
     rows = indexed(r)
-    cut = rows.select("ordinal", "i1", ids.strip_index(ID, F.col("i1")).alias("id"))
-    return cut.select("ordinal", ids.restore_index(ID, F.col("i1")).alias("id"))
+    cut = rows.select("ordinal", "i1", ids.strip_index(F.col("id"), F.col("i1")).alias("id"))
+    return cut.select("ordinal", ids.restore_index(F.col("id"), F.col("i1")).alias("id"))
 
 
 @query("SELECT a.ordinal, a.id AS id_1, a.seq AS seq_1, a.qual AS qual_1, b.id AS id_2, b.seq AS seq_2, b.qual AS qual_2 FROM lanes a JOIN lanes b ON a.ordinal = b.ordinal AND a.lane = 'R1' AND b.lane = 'R2'", LANES)
@@ -253,7 +252,7 @@ def mate_join(r):
 @query("SELECT ordinal AS old, n - 1 - ordinal AS new FROM reads, (SELECT count(*) AS n FROM reads) UNION ALL SELECT ordinal + n, 2 * n - 1 - ordinal FROM reads, (SELECT count(*) AS n FROM reads)")
 def mate_order_follow(r):
     n = r.count()
-    return pairing.follow(r.select(O.alias("old"), (n - 1 - O).alias("new")), n)
+    return pairing.follow(r.select(F.col("ordinal").alias("old"), (n - 1 - F.col("ordinal")).alias("new")), n)
 
 
 _MATES = "m AS (SELECT ordinal, ordinal % 5 <> 4 AS a1, ordinal % 7 <> 6 AS a2, (CASE WHEN ordinal % 3 = 0 THEN 40 - pos WHEN ordinal % 3 = 1 THEN -pos - 1 ELSE 32767 + pos END)::BIGINT AS d FROM reads)"
@@ -261,14 +260,14 @@ _MATES = "m AS (SELECT ordinal, ordinal % 5 <> 4 AS a1, ordinal % 7 <> 6 AS a2,
 
 @query("SELECT ordinal, CASE WHEN a1 AND a2 AND d BETWEEN 0 AND 32766 THEN 0 WHEN a1 AND a2 THEN 1 WHEN a1 THEN 3 WHEN a2 THEN 4 ELSE 2 END AS flag FROM m", _MATES)
 def mate_flag(r):
-    d = F.when(O % 3 == 0, 40 - F.col("pos")).when(O % 3 == 1, -F.col("pos") - 1).otherwise(32767 + F.col("pos"))
-    return r.select("ordinal", pairing.mate_flag(O % 5 != 4, O % 7 != 6, d).alias("flag"))
+    d = F.when(F.col("ordinal") % 3 == 0, 40 - F.col("pos")).when(F.col("ordinal") % 3 == 1, -F.col("pos") - 1).otherwise(32767 + F.col("pos"))
+    return r.select("ordinal", pairing.mate_flag(F.col("ordinal") % 5 != 4, F.col("ordinal") % 7 != 6, d).alias("flag"))
 
 
 @query("SELECT (c - 1 - ordinal) AS ordinal, qual FROM reads, (SELECT count(*) AS c FROM reads)")
 def permuted_qualities(r):
     n = r.count()
-    return pairing.reordered(r.select("ordinal", "qual"), r.select(O.alias("old"), (n - 1 - O).alias("new")))
+    return pairing.reordered(r.select("ordinal", "qual"), r.select(F.col("ordinal").alias("old"), (n - 1 - F.col("ordinal")).alias("new")))
 
 
 @query("SELECT seq FROM reads")
@@ -320,7 +319,7 @@ def _points(lane: str, prefix: str = "") -> str:
 def depleted(r: DataFrame) -> DataFrame:
     """Groups of reads by contig, in which C, G or neither is depleted to different degrees."""
     by = (F.col("contig_id") % 4).alias("lane")
-    one = F.when((F.col("contig_id") % 4 == 0), F.translate("seq", "C", "T")).when((F.col("contig_id") % 4 == 1) & (O % 2 == 0), F.translate("seq", "G", "A")).when((F.col("contig_id") % 4 == 2) & (O % 5 != 0), F.translate("seq", "CG", "TA")).otherwise(S)
+    one = F.when((F.col("contig_id") % 4 == 0), F.translate("seq", "C", "T")).when((F.col("contig_id") % 4 == 1) & (F.col("ordinal") % 2 == 0), F.translate("seq", "G", "A")).when((F.col("contig_id") % 4 == 2) & (F.col("ordinal") % 5 != 0), F.translate("seq", "CG", "TA")).otherwise(F.col("seq"))
     return r.select(by, one.alias("seq"))
 
 
@@ -338,7 +337,7 @@ _RATE = "x AS (SELECT contig_id % 50 AS lane, avg(CASE WHEN ordinal % 50 < conti
 
 
 def _rated(r: DataFrame) -> DataFrame:
-    return r.groupBy((F.col("contig_id") % 50).alias("lane")).agg(F.avg(F.when(O % 50 < F.col("contig_id") % 50 / 10, 1.0).otherwise(0.0)).alias("rate"))
+    return r.groupBy((F.col("contig_id") % 50).alias("lane")).agg(F.avg(F.when(F.col("ordinal") % 50 < F.col("contig_id") % 50 / 10, 1.0).otherwise(0.0)).alias("rate"))
 
 
 @query("SELECT lane, CASE WHEN rate > 0.05 THEN 90.0::DOUBLE WHEN rate > 0.01 THEN 70.0 WHEN rate > 0.003 THEN 35.0 ELSE 0.0 END AS points FROM x", _RATE)
@@ -371,7 +370,7 @@ def kmer_label_merge(r):
 
 @query(f"SELECT lane, count(*) AS sampled, count(*) FILTER (label = 'EXON') AS exon_hits, count(*) FILTER (label = 'PROMOTER') AS promoter_hits, count(*) FILTER (label = 'INTRON_CTRL') AS intron_hits FROM (SELECT ordinal % 3 AS lane, least(w, {_RC('w')}) AS kmer FROM k) LEFT JOIN ref USING (kmer) GROUP BY lane", _KMERS + ", " + _REFERENCE)
 def kmer_label_hits(r):
-    return stats.kmer_hits(r.select((O % 3).alias("lane"), "seq"), stats.reference_kmers(labelled(r)))
+    return stats.kmer_hits(r.select((F.col("ordinal") % 3).alias("lane"), "seq"), stats.reference_kmers(labelled(r)))
 
 
 @query("SELECT CASE WHEN (SELECT max(barcode_rate) FROM rates) > 0.5 THEN 1 ELSE 0 END + CASE WHEN (SELECT max(umi_rate) FROM rates) > 0.5 THEN 1 ELSE 0 END + CASE WHEN m1 <= 45 AND m2 - m1 >= 30 THEN 1 ELSE 0 END AS signs FROM (SELECT max(median) FILTER (lane = 'R1') AS m1, max(median) FILTER (lane = 'R2') AS m2 FROM medians)", LANES + ",\n" + _LANE)
@@ -403,7 +402,7 @@ _MEMBERS = "members AS (SELECT 'block_' || (ordinal // 500) || '.txt' AS path, s
 
 def members(r: DataFrame) -> DataFrame:
     lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "seq"))), lambda x: F.concat(x["seq"], F.lit("\n"))), "")
-    path = F.concat(F.lit("block_"), F.floor(O / 500).cast("string"), F.lit(".txt"))
+    path = F.concat(F.lit("block_"), F.floor(F.col("ordinal") / 500).cast("string"), F.lit(".txt"))
     return r.groupBy(path.alias("path")).agg(lines.alias("content")).select("path", integrity.member_sha256(F.col("content")).alias("sha256"))
 
 
@@ -437,21 +436,21 @@ _STREAMS = "files AS (SELECT CASE ordinal % 3 WHEN 0 THEN 'id_' WHEN 1 THEN 'qua
 
 @query("SELECT CASE WHEN starts_with(path, 'quality') THEN 'quality' WHEN starts_with(path, 'id') THEN 'id' ELSE 'read' END AS stream, sum(bytes)::BIGINT AS bytes FROM files GROUP BY 1", _STREAMS)
 def size_by_stream(r):
-    path = F.concat(F.when(O % 3 == 0, "id_").when(O % 3 == 1, "quality_").otherwise("read_"), O.cast("string"))
+    path = F.concat(F.when(F.col("ordinal") % 3 == 0, "id_").when(F.col("ordinal") % 3 == 1, "quality_").otherwise("read_"), F.col("ordinal").cast("string"))
     return r.select(path.alias("path"), F.length("seq").alias("bytes")).groupBy(integrity.stream_class(F.col("path")).alias("stream")).agg(F.sum("bytes").cast("long").alias("bytes"))
 
 
 @query("SELECT count(*) AS num_reads, count(*) FILTER (contains(seq, 'N')) AS num_with_n, sum(length(id) + 2 * length(seq) + 5)::BIGINT AS original_bytes FROM reads")
 def preview_metrics(r):
-    return r.agg(F.count("*").alias("num_reads"), F.count(F.when(seq.has_n(S), 1)).alias("num_with_n"), F.sum(F.octet_length(fastx.fastq(ID, S, Q)) + 1).cast("long").alias("original_bytes"))
+    return r.agg(F.count("*").alias("num_reads"), F.count(F.when(seq.has_n(F.col("seq")), 1)).alias("num_with_n"), F.sum(F.octet_length(fastx.fastq(F.col("id"), F.col("seq"), F.col("qual"))) + 1).cast("long").alias("original_bytes"))
 
 
 @query("""SELECT ordinal, CASE WHEN b THEN 'BGZF (Default)' WHEN xfl = 2 THEN 'MAX (Slowest)' WHEN xfl = 4 THEN 'FAST (Fastest)' ELSE 'DEFAULT/OTHER' END AS profile,
   CASE WHEN b THEN 'htslib/samtools/clib' WHEN mtime = 0 AND os = 255 THEN 'Modern pipeline/programmatic' WHEN flg & 8 = 0 THEN 'Programmatic (No filename)' ELSE 'Unknown' END AS origin
   FROM (SELECT ordinal, ordinal % 7 = 0 AS b, ordinal % 5 AS xfl, ordinal % 2 AS mtime, CASE WHEN ordinal % 3 = 0 THEN 255 ELSE 3 END AS os, (ordinal % 16)::INT AS flg FROM reads)""")
 def gzip_profile(r):
-    b, os, flg = O % 7 == 0, F.when(O % 3 == 0, 255).otherwise(3), (O % 16).cast("int")
-    return r.select("ordinal", integrity.gzip_profile(b, O % 5).alias("profile"), integrity.gzip_origin(b, O % 2, os, flg).alias("origin"))
+    b, os, flg = F.col("ordinal") % 7 == 0, F.when(F.col("ordinal") % 3 == 0, 255).otherwise(3), (F.col("ordinal") % 16).cast("int")
+    return r.select("ordinal", integrity.gzip_profile(b, F.col("ordinal") % 5).alias("profile"), integrity.gzip_origin(b, F.col("ordinal") % 2, os, flg).alias("origin"))
 
 
 @query("SELECT lane, ordinal, id, seq, qual FROM lanes", LANES)
@@ -486,8 +485,8 @@ def contig_offsets(r):
 def mutated(r: DataFrame) -> DataFrame:
     """Reads with some bases changed, beside their part of the contig."""
     ref = F.substring("contig", (F.col("pos") + 1).cast("int"), F.lit(60))
-    at = (O % 60).cast("int")
-    changed = F.when(O % 2 == 0, F.concat(F.substring(S, F.lit(1), at), F.translate(F.substring(S, at + 1, F.lit(1)), "ACGTN", "CAAGT"), F.substring(S, at + 2, F.length(S)))).otherwise(S)
+    at = (F.col("ordinal") % 60).cast("int")
+    changed = F.when(F.col("ordinal") % 2 == 0, F.concat(F.substring(F.col("seq"), F.lit(1), at), F.translate(F.substring(F.col("seq"), at + 1, F.lit(1)), "ACGTN", "CAAGT"), F.substring(F.col("seq"), at + 2, F.length(F.col("seq"))))).otherwise(F.col("seq"))
     return r.select("ordinal", ref.alias("ref"), changed.alias("seq"))
 
 
@@ -498,12 +497,12 @@ codes(a, b, code) AS (VALUES {_NOISE_ROWS})"""
 
 @query("SELECT ordinal, (i - 1)::INT AS off, code FROM (SELECT ordinal, i, substr(ref, i::INT, 1) AS a, substr(seq, i::INT, 1) AS b FROM (SELECT *, unnest(range(1, 61)) AS i FROM mut)) JOIN codes USING (a, b)", _MUTATED)
 def noise_encode(r):
-    return mutated(r).select("ordinal", F.explode(consensus.noise(F.col("ref"), S)).alias("x")).select("ordinal", F.col("x.off").alias("off"), F.col("x.code").alias("code"))
+    return mutated(r).select("ordinal", F.explode(consensus.noise(F.col("ref"), F.col("seq"))).alias("x")).select("ordinal", F.col("x.off").alias("off"), F.col("x.code").alias("code"))
 
 
 @query("SELECT ordinal, seq FROM mut", _MUTATED)
 def noise_apply(r):
-    return mutated(r).select("ordinal", consensus.apply_noise(F.col("ref"), consensus.noise(F.col("ref"), S)).alias("seq"))
+    return mutated(r).select("ordinal", consensus.apply_noise(F.col("ref"), consensus.noise(F.col("ref"), F.col("seq"))).alias("seq"))
 
 
 @query("SELECT ordinal, substr(ctg.seq, (pos - first + 1)::INT, 60) AS bases FROM reads JOIN ctg USING (contig_id)", _CONTIGS)
@@ -544,7 +543,7 @@ _BITS = "list_sum(list_transform(range(1, 61), lambda i: CASE WHEN substr(x, i::
 @query(f"SELECT a.ordinal AS a, b.ordinal AS b, {_BITS.replace('(x,', '(a.seq,').replace('(y,', '(b.seq,')} AS distance FROM keyed a JOIN keyed b ON a.dict = 0 AND b.dict = 0 AND a.key = b.key AND a.ordinal < b.ordinal", _KEYED)
 def hamming_pairs(r):
     k = overlap.keyed(r, WINDOWS[:1])
-    a, b = k.select(O.alias("a"), S.alias("x"), "key"), k.select(O.alias("b"), S.alias("y"), "key")
+    a, b = k.select(F.col("ordinal").alias("a"), F.col("seq").alias("x"), "key"), k.select(F.col("ordinal").alias("b"), F.col("seq").alias("y"), "key")
     return a.join(b, "key").where("a < b").select("a", "b", overlap.bit_distance(F.col("x"), F.col("y")).alias("distance"))
 
 
@@ -558,11 +557,11 @@ def absorb_candidates(r):
 @query("SELECT ordinal, id, seq, qual FROM reads")
 def overlap_roundtrip(r):
     """Reads as contigs and noise, those with N left as they are; then put together again."""
-    clean = r.where(~seq.has_n(S))
+    clean = r.where(~seq.has_n(F.col("seq")))
     c = materialize(consensus.contigs(clean).withColumnRenamed("seq", "contig_seq"), "contigs")
     placed = clean.select("ordinal", "contig_id", "pos", "seq").join(c, "contig_id")
     ref = F.substring("contig_seq", (F.col("pos") - F.col("first") + 1).cast("int"), F.length("seq"))
-    aligned = materialize(placed.select("ordinal", "contig_id", "pos", F.length("seq").alias("len"), consensus.noise(ref, S).alias("noise")), "alignments")
+    aligned = materialize(placed.select("ordinal", "contig_id", "pos", F.length("seq").alias("len"), consensus.noise(ref, F.col("seq")).alias("noise")), "alignments")
     back = aligned.join(c, "contig_id").withColumn("ref", F.substring("contig_seq", (F.col("pos") - F.col("first") + 1).cast("int"), F.col("len")))
     back = back.select("ordinal", consensus.apply_noise(F.col("ref"), F.col("noise")).alias("seq"))
     return order.restore_order(back.unionByName(overlap.unclaimed(r.select("ordinal", "seq"), aligned)).join(r.select("ordinal", "id", "qual"), "ordinal")).select("ordinal", "id", "seq", "qual")
