@@ -25,29 +25,32 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.graph import components
 from helixframe.llm.substrings import Bloom, bloom
-from helixframe.llm.text import Hashes, grams, mix, slices
+from helixframe.llm.text import grams, hash_words, mix, slices
 from helixframe.scratch import materialize
 
 SHINGLE, PERCENT = 4, 85
 #: A token is frequent if it's in FREQUENT sets, counted where a block of BLOCK_TOKENS tokens has it in LOCAL sets; at most MOST of them, the commonest.
 FREQUENT, LOCAL, BLOCK_TOKENS, MOST = 32, 4, 2_000_000, 1 << 18
-WORDS64 = 8  # of a bitmap
+#: Least bits of a bitmap; larger sets have as many as tokens, up to the next power of two.
+LEAST_BITS = 512
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
-class Sets:
+def token_sets(texts: list[bytes | None], shingle: int = SHINGLE) -> list[np.ndarray]:
     """Token sets of texts: sorted 64-bit hashes of the distinct shingles; of the whole sequence where there are fewer words."""
-
-    def __init__(self, shingle: int = SHINGLE):
-        self.k, self.hashes = shingle, Hashes()
-
-    def of(self, text: bytes | None) -> np.ndarray:
-        words = self.hashes.of((text or b"").lower().split())
-        if len(words) >= self.k:
-            return np.unique(grams(words, self.k))
-        if len(words):
-            return mix(grams(words, len(words)) + np.uint64(int(_SALT) * len(words) % 2**64))
-        return words
+    words = hash_words([(t or b"").lower() for t in texts])
+    every = grams(words.hashes, shingle)
+    out = []
+    bounds = words.bounds.tolist()
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        n = b - a
+        if n >= shingle:
+            own = np.sort(every[a : b - shingle + 1])
+            out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
+        else:
+            own = words.hashes[a:b]
+            out.append(mix(grams(own, n) + np.uint64(int(_SALT) * n % 2**64)) if n else own)
+    return out
 
 
 def name(tokens: np.ndarray) -> int:
@@ -55,9 +58,21 @@ def name(tokens: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).astype(np.int64))
 
 
-def parities(tokens: np.ndarray) -> np.ndarray:
-    bits = np.bincount(((tokens >> np.uint64(17)) & np.uint64(WORDS64 * 64 - 1)).astype(np.int64), minlength=WORDS64 * 64) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+def parities(tokens: np.ndarray) -> bytes:
+    """A bitmap of the parity of the tokens at each of its bits. The halves of a bitmap, one on the other, are the next smaller one."""
+    size = max(LEAST_BITS, 1 << max(0, len(tokens) - 1).bit_length())
+    bits = np.bincount(((tokens >> np.uint64(17)) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """Bits that differ, at the smaller bitmap's size: no more than tokens that are in one of the sets only."""
+    a, b = (np.frombuffer(v, np.uint64) for v in (x, y))
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def least_overlap(total: int, percent: int = PERCENT) -> int:
@@ -102,15 +117,14 @@ def signatures(tokens: np.ndarray, frequent_rank: np.ndarray, percent: int = PER
     return rare, n - len(rare), np.concatenate(out) if out else none
 
 
-_SET = "doc_id long, h long, n long, node long, " + ", ".join(f"b{i} long" for i in range(WORDS64)) + ", token long, count long"
+_SET = "doc_id long, h long, n long, node long, bits binary, token long, count long"
 
 
 def _sets(rows: DataFrame, shingle: int) -> DataFrame:
     """A row for each document (doc_id, h, n, node and its bitmap), and rows (token, count) for tokens that are common within a block."""
-    names = ["doc_id", "h", "n", "node", *(f"b{i}" for i in range(WORDS64)), "token", "count"]
+    names = ["doc_id", "h", "n", "node", "bits", "token", "count"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = Sets(shingle)
         held: list[np.ndarray] = []
         seen: set[int] = set()
         size = 0
@@ -118,16 +132,15 @@ def _sets(rows: DataFrame, shingle: int) -> DataFrame:
         def common() -> pa.RecordBatch:
             token, count = np.unique(np.concatenate(held), return_counts=True)
             some = count >= LOCAL
-            return pa.RecordBatch.from_arrays([pa.nulls(int(some.sum()), pa.int64())] * (4 + WORDS64) + [pa.array(token[some].view(np.int64)), pa.array(count[some].astype(np.int64))], names=names)
+            return pa.RecordBatch.from_arrays([*[pa.nulls(int(some.sum()), pa.int64())] * 4, pa.nulls(int(some.sum()), pa.binary()), pa.array(token[some].view(np.int64)), pa.array(count[some].astype(np.int64))], names=names)
 
         for batch in batches:
             for part, texts in slices(batch, "text"):
-                nodes, ns, bits = [], [], np.zeros((len(texts), WORDS64), np.int64)
-                for i, t in enumerate(texts):
-                    tokens = sets.of(t)
+                nodes, ns, bits = [], [], []
+                for tokens in token_sets(texts, shingle):
                     ns.append(len(tokens))
                     nodes.append(name(tokens) if len(tokens) else None)
-                    bits[i] = parities(tokens)
+                    bits.append(parities(tokens))
                     if len(tokens) and nodes[-1] not in seen:
                         seen.add(nodes[-1])
                         held.append(tokens)
@@ -136,7 +149,7 @@ def _sets(rows: DataFrame, shingle: int) -> DataFrame:
                         yield common()
                         held, seen, size = [], set(), 0
                 null = pa.nulls(len(texts), pa.int64())
-                yield pa.RecordBatch.from_arrays([*part.select(["doc_id", "h"]).columns, pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), *(pa.array(bits[:, i]) for i in range(WORDS64)), null, null], names=names)
+                yield pa.RecordBatch.from_arrays([*part.select(["doc_id", "h"]).columns, pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bits, pa.binary()), null, null], names=names)
         if held:
             yield common()
 
@@ -149,13 +162,12 @@ def _signed(rows: DataFrame, frequent: np.ndarray, shingle: int, percent: int) -
     known = rows.sparkSession.sparkContext.broadcast((frequent[order], order))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, (often, rank) = Sets(shingle), known.value
+        often, rank = known.value
         seen: set[int] = set()
         for batch in batches:
             for _, texts in slices(batch, "text"):
                 own = []
-                for t in texts:
-                    tokens = sets.of(t)
+                for tokens in token_sets(texts, shingle):
                     if slack(100 * len(tokens) // percent, percent) == 0:
                         continue  # only an equal set is similar
                     node = name(tokens)
@@ -190,11 +202,26 @@ def _possible(x: str, y: str, percent: int) -> Column:
     return (100 + percent) * F.least(F.col(f"{x}hv"), F.col(f"{y}hv")) >= need
 
 
-def _near_bits(x: str, y: str, percent: int) -> Column:
-    """Whether the bitmaps differ in no more bits than similar sets may differ in tokens."""
-    total = F.col(f"{x}n") + F.col(f"{y}n")
-    differ = sum((F.bit_count(F.col(f"{x}b{i}").bitwiseXOR(F.col(f"{y}b{i}"))) for i in range(1, WORDS64)), F.bit_count(F.col(f"{x}b0").bitwiseXOR(F.col(f"{y}b0"))))
-    return differ <= total - 2 * F.ceil(percent * total / (100 + percent))
+def _near_bits(percent: int):
+    """Whether two bitmaps differ in no more bits than similar sets of their sizes may differ in tokens."""
+
+    @F.pandas_udf("boolean")
+    def near(x: pd.Series, y: pd.Series, xn: pd.Series, yn: pd.Series) -> pd.Series:
+        return pd.Series([differing(a, b) <= n + m - 2 * least_overlap(n + m, percent) for a, b, n, m in zip(x, y, xn.tolist(), yn.tolist(), strict=True)], dtype=bool)
+
+    return near("xbits", "ybits", "xn", "yn")
+
+
+def passing(values: DataFrame):
+    """A function of a long column: false only where it's none of the ``values`` (one column of longs), by a filter of bounded size."""
+    made = bloom(values)
+    known = values.sparkSession.sparkContext.broadcast((made.blocks, made.bits))
+
+    @F.pandas_udf("boolean")
+    def passes(x: pd.Series) -> pd.Series:
+        return pd.Series(Bloom(*known.value).has(x.to_numpy(np.int64).view(np.uint64)))
+
+    return passes
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -203,26 +230,18 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int,
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     first = sets.join(wanted.hint("merge"), "node").groupBy("node").agg(F.min(F.struct("id", "h")).alias("d")).select("node", "d.id", "d.h")
     first = materialize(first, "ngram-texts")
-    passing = bloom(first.select("h"))
-    known = docs.sparkSession.sparkContext.broadcast((passing.blocks, passing.bits))
-
-    @F.pandas_udf("boolean")
-    def passes(h: pd.Series) -> pd.Series:
-        return pd.Series(Bloom(*known.value).has(h.to_numpy(np.int64).view(np.uint64)))
-
-    texts = docs.select("id", "h", "text").where(passes("h")).join(first.hint("merge"), ["id", "h"]).dropDuplicates(["node"]).select("node", "text")
+    texts = docs.select("id", "h", "text").where(passing(first.select("h"))("h")).join(first.hint("merge"), ["id", "h"]).dropDuplicates(["node"]).select("node", "text")
     both = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")).hint("merge"), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")).hint("merge"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Sets(shingle)
         last, y = None, None
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             good = np.zeros(len(a), bool)
             for i in range(len(a)):
                 if y is None or b[i] != last:
-                    last, y = b[i], own.of(batch.column(3)[i].as_py().encode())
-                x = own.of(batch.column(2)[i].as_py().encode())
+                    last, y = b[i], token_sets([batch.column(3)[i].as_py().encode()], shingle)[0]
+                x = token_sets([batch.column(2)[i].as_py().encode()], shingle)[0]
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 good[i] = 100 * shared >= percent * (len(x) + len(y) - shared)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], names=["a", "b"])
@@ -244,31 +263,34 @@ def join(df: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataF
     counted = found.where("token is not null").groupBy("token").agg(F.sum("count").alias("n")).where(F.col("n") >= FREQUENT)
     frequent = counted.orderBy(F.desc("n"), "token").limit(MOST).toPandas()
     ranked = frequent["token"].to_numpy(np.int64)[::-1].copy().view(np.uint64)
-    signed = _signed(docs, ranked, shingle, percent)
-    shared = signed.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("sig")
-    meet = materialize(signed.join(shared.hint("merge"), "sig"), "ngram-meetings")
-    bits = sets.where("node is not null").groupBy("node").agg(*[F.first(f"b{i}").alias(f"b{i}") for i in range(WORDS64)])
+    signed = materialize(_signed(docs, ranked, shingle, percent), "ngram-signatures")
+    shared = materialize(signed.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("sig"), "ngram-shared")
+    meet = materialize(signed.where(passing(shared)("sig")).join(shared.hint("merge"), "sig"), "ngram-meetings")
+    bits = sets.where("node is not null").groupBy("node").agg(F.max("bits").alias("bits"))
 
     def bitmapped(rows: DataFrame, node: str, to: str) -> DataFrame:
-        return rows.join(bits.select(F.col("node").alias(node), *[F.col(f"b{i}").alias(f"{to}b{i}") for i in range(WORDS64)]).hint("merge"), node)
+        return rows.join(bits.select(F.col("node").alias(node), F.col("bits").alias(f"{to}bits")).hint("merge"), node)
 
     # round 1: each set with the most central of those that it meets most
     hub = meet.groupBy("sig").agg(F.max(F.struct("c", "node", "n", "hv")).alias("hub"))
     pairs = meet.join(hub.hint("merge"), "sig").where("node <> hub.node").select(F.col("node").alias("a"), F.col("n").alias("xn"), F.col("hv").alias("xhv"), F.col("hub.node").alias("b"), F.col("hub.n").alias("yn"), F.col("hub.hv").alias("yhv"))
     pairs = pairs.where(_possible("x", "y", percent)).groupBy("a", "b").agg(F.count("*").alias("times"), F.first("xn").alias("xn"), F.first("yn").alias("yn"))
-    pairs = bitmapped(bitmapped(pairs, "a", "x"), "b", "y").where(_near_bits("x", "y", percent))
+    pairs = bitmapped(bitmapped(pairs, "a", "x"), "b", "y").where(_near_bits(percent))
     tested = materialize(pairs.groupBy("a").agg(F.max(F.struct("times", "b")).alias("best")).select("a", F.col("best.b").alias("b")), "ngram-pairs")
     links = materialize(_verified(tested, docs, sets, shingle, percent), "ngram-links")
     roots = materialize(components(links), "ngram-roots")
     # round 2: all that meet and don't hang together yet
     labelled = meet.join(roots.hint("merge"), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
     apart = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct("c", "node", "label")).alias("hub")).where("lo < hi").select("sig", F.col("hub.label").alias("main"))
-    open_ = materialize(bitmapped(labelled.join(apart.hint("merge"), "sig"), "node", ""), "ngram-open")
-    columns = ["node", "n", "hv", "label", "main", *(f"b{i}" for i in range(WORDS64))]
+    open_ = labelled.join(apart.hint("merge"), "sig")
+    columns = ["node", "n", "hv", "label", "main"]
     x = open_.where("label <> main").select("sig", *[F.col(c).alias(f"x{c}") for c in columns])
     y = open_.select("sig", *[F.col(c).alias(f"y{c}") for c in columns])
-    on = (x["sig"] == y["sig"]) & (F.col("xlabel") != F.col("ylabel")) & ((F.col("ylabel") == F.col("ymain")) | (F.col("xnode") < F.col("ynode"))) & _possible("x", "y", percent) & _near_bits("x", "y", percent)
-    more = x.join(y.hint("merge"), on).select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")).distinct()
+    on = (x["sig"] == y["sig"]) & (F.col("xlabel") != F.col("ylabel")) & ((F.col("ylabel") == F.col("ymain")) | (F.col("xnode") < F.col("ynode"))) & _possible("x", "y", percent)
+    more = x.join(y.hint("merge"), on)
+    swap = F.col("xnode") > F.col("ynode")
+    more = more.select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b"), F.when(swap, F.col("yn")).otherwise(F.col("xn")).alias("xn"), F.when(swap, F.col("xn")).otherwise(F.col("yn")).alias("yn")).distinct()
+    more = bitmapped(bitmapped(more, "a", "x"), "b", "y").where(_near_bits(percent)).select("a", "b")
     done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = materialize(more.join(done.hint("merge"), ["a", "b"], "left_anti"), "ngram-pairs")
     links = links.unionByName(_verified(more, docs, sets, shingle, percent))

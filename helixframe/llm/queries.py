@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,7 +93,31 @@ b AS (
   FROM w LEFT JOIN r USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id))
 """
 
+_LOW = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+_OP3 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.replace("coalesce(text, '')", _LOW)} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, k FROM (
+  SELECT doc_id, ws[i:i + {ngrams.SHINGLE - 1}] AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {ngrams.SHINGLE - 2})) AS i FROM w WHERE len(ws) >= {ngrams.SHINGLE})
+  UNION ALL SELECT doc_id, ws FROM w WHERE len(ws) BETWEEN 1 AND {ngrams.SHINGLE - 1})),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.k = y.k AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= {ngrams.PERCENT} * (na.n + nb.n - i)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a) m USING (doc_id)"""
+
+_OP4 = rf"""
+WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+g AS (SELECT doc_id, i, ws[i:i + {substrings.WINDOW - 1}] AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {substrings.WINDOW - 2})) AS i FROM w WHERE len(ws) >= {substrings.WINDOW})),
+f AS (SELECT k, min(doc_id) AS first FROM g GROUP BY k),
+r AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, i + {substrings.WINDOW})) AS p FROM g JOIN f USING (k) WHERE first < doc_id) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN ps IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(ps, i)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN r USING (doc_id)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_ngram_jaccard": _OP3,
+    "op4_substrings": _OP4,
     "op2_warc": f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha256(html) AS payload_digest, min(page_id) OVER (PARTITION BY html) AS first FROM p)

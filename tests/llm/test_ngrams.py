@@ -66,6 +66,15 @@ def test_similar_sets_meet(seed, size, percent, share):
     assert len(np.intersect1d(*sigs)) or (any(tiny) and len(x) == len(y))
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 10**9), st.integers(1, 3000), st.integers(0, 3000))
+def test_bitmaps_never_differ_more_than_sets(seed, n, m):
+    rng = np.random.default_rng(seed)
+    every = rng.integers(0, 2**63, n + m, dtype=np.uint64)
+    x, y = every[:n], every[rng.integers(0, n) :]
+    assert ngrams.differing(ngrams.parities(x), ngrams.parities(y)) <= len(np.setxor1d(x, y))
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(300)] + [(1000 + i, 1001 + i) for i in range(150)] + [(5000, 5001 + i) for i in range(200)] + [(7, 7)]
@@ -142,3 +151,12 @@ def test_one_of_each(spark):
 def test_query(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert sorted(tuple(r) for r in queries.QUERIES["op3_ngram_jaccard"](spark, sf_dir).collect()) == sorted(_components(rows))
+
+
+def test_sql_gives_the_same_rows(spark, sf_dir):
+    import duckdb
+
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    got = sorted(tuple(r) for r in queries.QUERIES["op3_ngram_jaccard"](spark, sf_dir).collect())
+    assert got == sorted(c.sql(queries.ORACLE_SQL["op3_ngram_jaccard"]).fetchall())

@@ -91,3 +91,12 @@ def test_query(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     want = sorted((d, len(ws), sum(f), _digest(ws, f)) for d, ws, f in _removed(rows))
     assert sorted(tuple(r) for r in queries.QUERIES["op4_substrings"](spark, sf_dir).collect()) == want
+
+
+def test_sql_gives_the_same_rows(spark, sf_dir):
+    import duckdb
+
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    got = sorted(tuple(r) for r in queries.QUERIES["op4_substrings"](spark, sf_dir).collect())
+    assert got == sorted(c.sql(queries.ORACLE_SQL["op4_substrings"]).fetchall())
