@@ -205,3 +205,17 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.num_reads, r.num_clean, r.max_len) for r in spark.sql("select * from found").collect()] == [(2, 1, 4)]
+
+
+def test_bundle(spark, tmp_path):
+    lanes = [_reads(spark, 40), _reads(spark, 40, "R2", 2), _reads(spark, 40, "R3", 2), _reads(spark, 40, "I1", 4)]
+    every = lanes[0].unionByName(lanes[1]).unionByName(lanes[2]).unionByName(lanes[3])
+    path = f"file://{tmp_path}/b"
+    manifest = archive.write_bundle(every, path)
+    assert manifest == {"version": "1", "read_archive": "reads", "r3_alias": "R2", "index_archive": "index"}
+    back = archive.read_bundle(spark, path)
+    assert back.exceptAll(every.select(back.columns)).count() == 0 and back.count() == 160
+    for bad in ("version=1", "version=2\nread_archive=a", "version=1\nread_archive=../a", "version=1\nread_archive=a\nread_archive=b", "version=1\nread_archive=a\nx=1", "hello", "version=1\nread_archive=a\nr3_alias=I1"):
+        with pytest.raises(archive.ArchiveError):
+            archive.bundle_of(bad)
+    assert archive.bundle_of(archive.bundle_text(manifest)) == manifest and archive.ratio(10, 4) == 2.5 and archive.ratio(1, 0) == 0
