@@ -4,28 +4,30 @@ Each document's ids are cut where a rolling hash of the last ids has its low bit
 equal chunks wherever they stand. A chunk is named by the SHA-256 of its bytes and stored once, in the pack row
 of the first document that has it; a recipe lists a document's chunks, and for chunks that lie elsewhere the pack they
 lie in. Merkle roots of documents, of pack files and of the whole store are kept in a manifest, and reading checks
-every chunk and root. Ids are little-endian unsigned integers of 16 bits, or of 32 bits in chunks with an id over 65535."""
+every chunk and root. Chunks hold ids of 16 bits, or of 32 bits where an id is over 65535, byte plane by byte plane, and lie in one Zstandard frame for each document."""
 
 from __future__ import annotations
 
 import hashlib
 import json
-import zlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.text import mix, slices
+from helixframe.llm.text import BEYOND, Kept, latin_pattern, mix, slices
 from helixframe.scratch import remove, scratch_path
 
 #: Ids in the rolling window; a cut follows an id where so many low bits of the hash are zero; least and most ids of a chunk.
-ROLL, BITS, LEAST, MOST = 8, 8, 32, 2048
-#: Encoded words that a worker keeps.
-KEPT = 300_000
+ROLL, BITS, LEAST, MOST = 8, 9, 64, 4096
+#: Encoded parts that a worker keeps, about.
+KEPT = 800_000
+ASCII_SPACE = re.compile(r"[\t-\r ]+")
 
 
 class StoreError(ValueError):
@@ -35,27 +37,56 @@ class StoreError(ValueError):
 # -- ids, chunks, roots ------------------------------------------------------------------------------------
 
 
-class WordIds(dict):
-    """Ids of pieces of text without ASCII white space. The tokenizer drops white space and lets no token pass over it, so
-    a text's ids are those of its pieces, one after another."""
+class WordIds:
+    """Ids of texts by a tokenizer of the tokenizers library that lower-cases, drops white space and keeps letters, digits and
+    the rest apart. No token passes over a bound between such parts, so a text's ids are those of its parts, one
+    after another, and each distinct part goes to the library once while it is kept. Words with a character BEYOND, where
+    normal forms matter, and words that may name a special token are parts as a whole."""
+
+    PARTS = latin_pattern(r"\p{L}+|'s|'t|'re|'ve|'m|'ll|'d|\p{N}|[^\s\p{L}\p{N}]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.known = Kept(np.uint32, KEPT, self._learn)
+
+    def _parts(self, text: str) -> list[str]:
+        low = text.lower()
+        if not BEYOND.search(low) and not BEYOND.search(text) and "<|" not in text:
+            return self.PARTS.findall(low)
+        words = ASCII_SPACE.split(text)
+        if len(words) > 1:
+            return [p for w in words if w for p in self._parts(w)]
+        return [" " + text]  # no other part has a space
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for i in range(0, len(texts), 10_000) for e in self.tokenizer.encode_batch(texts[i : i + 10_000], add_special_tokens=False)]
+        return np.fromiter((x for e in ids for x in e), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        out, i = [], 0
+        while i < len(new):
+            if new[i][0] == " ":
+                out.append(self._whole([new[i][1:]]))
+                i += 1
+                continue
+            j = i + 1
+            while j < len(new) and j < i + 1000 and new[j][0] != " ":
+                j += 1
+            e = self.tokenizer.encode(" ".join(new[i:j]), add_special_tokens=False)
+            ids, of = np.array(e.ids, np.uint32), np.array(e.word_ids)
+            lengths = np.diff(np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]])))
+            out.append((ids, lengths) if len(lengths) == j - i else self._whole(new[i:j]))
+            i = j
+        return tuple(map(np.concatenate, zip(*out, strict=True)))
 
     def batch(self, texts: list[bytes], end: int | None) -> list[np.ndarray]:
-        if len(self) > KEPT:
-            self.clear()
-        words = [t.split() for t in texts]
-        new = list(dict.fromkeys(w for ws in words for w in ws if w not in self))
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, "<u4").tobytes()
-        tail = b"" if end is None else np.array([end], "<u4").tobytes()
-        return [np.frombuffer(b"".join([*map(self.__getitem__, ws), tail]), "<u4") for ws in words]
+        """The ids of each text, with the id ``end`` behind."""
+        flat, counts = self.known.gather([self._parts(t.decode()) for t in texts])
+        bounds = np.concatenate([[0], np.cumsum(counts)]).tolist()
+        tail = np.array([] if end is None else [end], "<u4")
+        return [np.concatenate([flat[a:b], tail]) for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 _WORD_IDS: dict[str, WordIds] = {}
@@ -67,35 +98,51 @@ def word_ids(path: str) -> WordIds:
     return _WORD_IDS[path]
 
 
-def cuts(ids: np.ndarray, roll: int = ROLL, bits: int = BITS, least: int = LEAST, most: int = MOST) -> list[int]:
-    """Ends of the chunks of an id stream."""
-    n = len(ids)
-    if n == 0:
-        return []
-    h = np.zeros(n, np.uint64)
-    codes = mix(ids.astype(np.uint64) + np.uint64(1))
-    for j in range(min(roll, n)):
-        h[j:] += codes[: n - j] * np.uint64(pow(0x9E3779B97F4A7C15, j, 2**64))
+def cuts(streams: list[np.ndarray], roll: int = ROLL, bits: int = BITS, least: int = LEAST, most: int = MOST) -> list[list[int]]:
+    """Ends of the chunks of each id stream. The rolling hash runs over all streams at once: no cut is nearer to a stream's start
+    than ``least`` ids, which the hash doesn't reach over."""
+    if not 0 < roll <= least <= most:
+        raise ValueError("it takes 0 < roll <= least <= most")
+    flat = np.concatenate(streams).astype(np.uint64) if streams else np.zeros(0, np.uint64)
+    h = np.zeros(len(flat), np.uint64)
+    codes = mix(flat + np.uint64(1))
+    for j in range(min(roll, len(flat))):
+        h[j:] += codes[: len(flat) - j] * np.uint64(pow(0x9E3779B97F4A7C15, j, 2**64))
     marks = np.flatnonzero(mix(h) & np.uint64((1 << bits) - 1) == 0) + 1
-    out, last = [], 0
-    for m in [*marks.tolist(), n]:
-        while m - last > most:
-            last += most
-            out.append(last)
-        if m - last >= least or (m == n and m > last):
-            out.append(m)
-            last = m
+    ends = np.cumsum([0, *map(len, streams)])
+    first = np.searchsorted(marks, ends, side="right")
+    out = []
+    for i, x in enumerate(streams):
+        own, last = [], 0
+        for m in [*(marks[first[i] : first[i + 1]] - ends[i]).tolist(), len(x)]:
+            while m - last > most:
+                last += most
+                own.append(last)
+            if m - last >= least or (m == len(x) and m > last):
+                own.append(m)
+                last = m
+        out.append(own)
     return out
 
 
 def pack(ids: np.ndarray) -> bytes:
-    return (b"\2" + ids.astype("<u2").tobytes()) if len(ids) == 0 or ids.max() < 65536 else (b"\4" + ids.astype("<u4").tobytes())
+    """A byte 2 or 4, the bytes of an id; then the lowest bytes of all ids, the next bytes of all, and so on."""
+    width = 2 if len(ids) == 0 or ids.max() < 65536 else 4
+    return bytes([width]) + ids.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
 
 
 def unpack(chunk: bytes) -> np.ndarray:
-    if chunk[:1] not in (b"\2", b"\4"):
-        raise StoreError(f"a chunk starts with {chunk[:1]!r}")
-    return np.frombuffer(chunk, "<u2" if chunk[0] == 2 else "<u4", offset=1).astype("<u4")
+    if chunk[:1] not in (b"\2", b"\4") or (len(chunk) - 1) % chunk[0]:
+        raise StoreError(f"a chunk of {len(chunk)} bytes starts with {chunk[:1]!r}")
+    planes = np.frombuffer(chunk, np.uint8, offset=1).reshape(chunk[0], -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{chunk[0]}").ravel().astype("<u4")
+
+
+def opened(frame: bytes) -> bytes:
+    try:
+        return zstandard.ZstdDecompressor().decompress(frame)
+    except zstandard.ZstdError as e:
+        raise StoreError(f"a chunk's frame: {e}") from None
 
 
 def merkle(leaves: list[bytes]) -> bytes:
@@ -108,53 +155,71 @@ def merkle(leaves: list[bytes]) -> bytes:
 
 # -- writing -----------------------------------------------------------------------------------------------
 
-_STAGED = "doc_id long, n_tokens long, root binary, digests array<binary>, chunks array<binary>"
-_PACKED = "doc_id long, part int, start_in_part long, n_tokens long, root binary, digests array<binary>, owners array<long>, own array<struct<seq:int,digest:binary,shared:boolean,data:binary>>"
+_STAGED = "doc_id long, tag long, n_tokens long, root binary, digests array<binary>, sizes array<int>, data binary"
+_PACKED = "doc_id long, part int, start_in_part long, n_tokens long, root binary, digests array<binary>, owners array<long>, own array<struct<seq:int,shared:boolean,size:int>>, data binary"
 
 
 def _staged(df: DataFrame, tokenizer: str, end: int | None, text: str) -> DataFrame:
+    """Each document's chunks: their digests and sizes, and one frame with all of them. tag: the head of the root, which tells apart documents
+    that share a doc_id."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = word_ids(tokenizer)
+        own, press = word_ids(tokenizer), zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             for part, texts in slices(batch, "__text"):
-                rows: tuple[list, ...] = ([], [], [], [])
-                for ids in own.batch([t or b"" for t in texts], end):
-                    ends = cuts(ids)
+                rows: tuple[list, ...] = ([], [], [], [], [], [])
+                streams = own.batch([t or b"" for t in texts], end)
+                for ids, ends in zip(streams, cuts(streams), strict=True):
                     chunks = [pack(ids[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
                     digests = [hashlib.sha256(c).digest() for c in chunks]
-                    for column, value in zip(rows, (len(ids), merkle(digests), digests, chunks), strict=True):
+                    root = merkle(digests)
+                    for column, value in zip(rows, (int.from_bytes(root[:8], "little", signed=True), len(ids), root, digests, [*map(len, chunks)], press(b"".join(chunks))), strict=True):
                         column.append(value)
-                kinds = (pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary()))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(r, k) for r, k in zip(rows, kinds, strict=True))], names=["doc_id", "n_tokens", "root", "digests", "chunks"])
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(r, k) for r, k in zip(rows, kinds, strict=True))], names=["doc_id", "tag", "n_tokens", "root", "digests", "sizes", "data"])
 
     return df.select(F.col("doc_id").cast("long"), F.col(text).cast("string").alias("__text")).mapInArrow(run, _STAGED)
 
 
+def _parted(data: bytes, sizes: list[int]) -> list[bytes]:
+    """The chunks of a frame."""
+    raw = opened(data)
+    if len(raw) != sum(sizes):
+        raise StoreError(f"a frame holds {len(raw)} bytes; its recipe says {sum(sizes)}")
+    ends = np.cumsum([0, *sizes]).tolist()
+    return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
 def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a partition in order of (doc_id, root, kind): what is known of a document's shared chunks, then the document."""
+    """Rows of a partition in order of (doc_id, tag, kind): what is known of a document's shared chunks, then the document."""
     part, start = TaskContext.get().partitionId(), 0
     key, known = None, {}
-    schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("start_in_part", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("digests", pa.list_(pa.binary())), ("owners", pa.list_(pa.int64())), ("own", pa.list_(pa.struct([("seq", pa.int32()), ("digest", pa.binary()), ("shared", pa.bool_()), ("data", pa.binary())])))])
+    press = zstandard.ZstdCompressor(level=3).compress
+    schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("start_in_part", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("digests", pa.list_(pa.binary())), ("owners", pa.list_(pa.int64())), ("own", pa.list_(pa.struct([("seq", pa.int32()), ("shared", pa.bool_()), ("size", pa.int32())]))), ("data", pa.binary())])
     for batch in batches:
         out, size = [], 0
-        for i in range(batch.num_rows):
-            r = {name: batch.column(c)[i].as_py() for c, name in enumerate(batch.schema.names)}
-            if (r["doc_id"], r["root"]) != key:
-                key, known = (r["doc_id"], r["root"]), {}
+        for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            r = dict(zip(batch.schema.names, values, strict=True))
+            if (r["doc_id"], r["tag"]) != key:
+                key, known = (r["doc_id"], r["tag"]), {}
             if r["kind"] == 0:
                 known = {x["digest"]: x for x in r["shared"]}
                 continue
             own, owners, seen = [], [], set()
-            for seq, (digest, data) in enumerate(zip(r["digests"], r["chunks"], strict=True)):
+            for seq, digest in enumerate(r["digests"]):
                 x = known.get(digest)
                 mine = x is None or x["mine"]
                 owners.append(None if mine else x["owner"])
                 if mine and digest not in seen:
                     seen.add(digest)
-                    own.append({"seq": seq, "digest": digest, "shared": x is not None, "data": data})
-                    size += len(data)
-            out.append({"doc_id": r["doc_id"], "part": part, "start_in_part": start, "n_tokens": r["n_tokens"], "root": r["root"], "digests": r["digests"], "owners": owners, "own": own})
+                    own.append({"seq": seq, "shared": x is not None, "size": r["sizes"][seq]})
+            data = r["data"]
+            if len(own) < len(r["digests"]):
+                chunks = _parted(data, r["sizes"])
+                data = press(b"".join(chunks[x["seq"]] for x in own))
+            out.append({"doc_id": r["doc_id"], "part": part, "start_in_part": start, "n_tokens": r["n_tokens"], "root": r["root"], "digests": r["digests"], "owners": owners, "own": own, "data": data})
             start += r["n_tokens"]
+            size += len(data)
             if size > 4 << 20:
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
                 out, size = [], 0
@@ -167,23 +232,20 @@ def write(df: DataFrame, path: str, tokenizer: str, end: int | None = None, text
     the id ``end``, and writes the store in ascending order of doc_id into the folder ``path``: packs, and a manifest.
 
     A null text is an empty one; a null doc_id comes first; rows that repeat a doc_id stay, each a document, in the order
-    of their roots. Only digests are shuffled to find equal chunks; ids are shuffled once, into their order."""
+    of their roots' heads. Only digests are shuffled to find equal chunks; ids are shuffled once, into their order."""
     spark = df.sparkSession
     staging = scratch_path(spark, "store-staging")
     _staged(df, tokenizer, end, text).write.option("compression", "zstd").parquet(staging)
     staged = spark.read.schema(_STAGED).parquet(staging)
     # a chunk belongs to the first document that has it; only chunks in several documents are told to these
-    each = staged.select("doc_id", "root", F.explode(F.array_distinct("digests")).alias("digest"))
-    owner = each.groupBy("digest").agg(F.min(F.struct("doc_id", "root")).alias("owner"), F.count("*").alias("n")).where("n > 1")
-    told = each.join(owner.hint("merge"), "digest").withColumn("mine", F.col("owner").eqNullSafe(F.struct("doc_id", "root")))
-    told = told.groupBy("doc_id", "root").agg(F.collect_list(F.struct("digest", "mine", F.col("owner.doc_id").alias("owner"))).alias("shared"))
-    empty = F.lit(None)
-    rows = told.select("doc_id", "root", F.lit(0).alias("kind"), "shared", empty.cast("long").alias("n_tokens"), empty.cast("array<binary>").alias("digests"), empty.cast("array<binary>").alias("chunks")).unionByName(
-        staged.withColumns({"kind": F.lit(1), "shared": empty.cast("array<struct<digest:binary,mine:boolean,owner:bigint>>")})
-    )
+    each = staged.select("doc_id", "tag", F.explode(F.array_distinct("digests")).alias("digest"))
+    owner = each.groupBy("digest").agg(F.min(F.struct("doc_id", "tag")).alias("owner"), F.count("*").alias("n")).where("n > 1")
+    told = each.join(owner.hint("merge"), "digest").withColumn("mine", F.col("owner").eqNullSafe(F.struct("doc_id", "tag")))
+    told = told.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("digest", "mine", F.col("owner.doc_id").alias("owner"))).alias("shared"))
+    rows = told.withColumn("kind", F.lit(0)).unionByName(staged.withColumn("kind", F.lit(1)), allowMissingColumns=True)
     # by doc_id alone, so that what is told of a document comes to its partition
-    ordered = rows.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "root", "kind")
-    ordered.select("doc_id", "root", "kind", "shared", "n_tokens", "digests", "chunks").mapInArrow(_packer, _PACKED).write.option("compression", "zstd").parquet(f"{path}/packs")
+    ordered = rows.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "tag", "kind")
+    ordered.select("doc_id", "tag", "kind", "shared", "n_tokens", "root", "digests", "sizes", "data").mapInArrow(_packer, _PACKED).write.option("compression", "zstd").parquet(f"{path}/packs")
     remove(spark, staging)
     _part_roots(spark, path).write.parquet(f"{path}/manifest")
 
@@ -241,21 +303,28 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         total += r["n_tokens"]
     packs = spark.read.schema(_PACKED).parquet(f"{path}/packs")
     away = F.exists("owners", lambda o: o.isNotNull())
-    # the rows of a document without an id of its own are told apart by their place
     wanted = packs.where(away).select("part", "start_in_part", "root", F.explode(F.array_distinct(F.expr("filter(digests, (d, i) -> owners[i] is not null)"))).alias("digest"))
-    shared = packs.select(F.explode(F.expr("filter(own, c -> c.shared)")).alias("c")).select("c.digest", "c.data").groupBy("digest").agg(F.min("data").alias("data"))
+
+    def lend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for digests, own, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                chunks = [(digests[x["seq"]], c) for x, c in zip(own, _parted(data, [x["size"] for x in own]), strict=True) if x["shared"]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*chunks, strict=True)], names=["digest", "data"])
+
+    shared = packs.where(F.exists("own", lambda c: c["shared"])).select("digests", "own", "data").mapInArrow(lend, "digest binary, data binary").groupBy("digest").agg(F.min("data").alias("data"))
     brought = wanted.join(shared.hint("merge"), "digest").groupBy("part", "start_in_part", "root").agg(F.collect_list(F.struct("digest", "data")).alias("brought"))
     keys = ["part", "start_in_part", "root"]
     far = packs.where(away).join(brought.hint("merge"), keys, "left")
     near = packs.where(~away).withColumn("brought", F.lit(None).cast("array<struct<digest:binary,data:binary>>"))
-    columns = ["doc_id", "part", "start_in_part", "n_tokens", "root", "digests", "own", "brought"]
+    columns = ["doc_id", "part", "start_in_part", "n_tokens", "root", "digests", "own", "data", "brought"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, size = [], 0
-            for i in range(batch.num_rows):
-                r = {name: batch.column(c)[i].as_py() for c, name in enumerate(columns)}
-                data = {x["digest"]: x["data"] for x in [*r["own"], *(r["brought"] or [])]}
+            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                r = dict(zip(columns, values, strict=True))
+                data = {r["digests"][x["seq"]]: c for x, c in zip(r["own"], _parted(r["data"], [x["size"] for x in r["own"]]), strict=True)}
+                data |= {x["digest"]: x["data"] for x in r["brought"] or []}
                 for digest, chunk in data.items():
                     if hashlib.sha256(chunk).digest() != digest:
                         raise StoreError(f"document {r['doc_id']}: a chunk has another digest than {digest.hex()}")
@@ -277,7 +346,3 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     made = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
     schema = "doc_id long, start long, n_tokens long, ids binary"
     return near.select(*columns).mapInArrow(run, schema).unionByName(far.select(*columns).mapInArrow(run, schema))
-
-
-def crc32(ids: bytes) -> int:
-    return zlib.crc32(ids)
