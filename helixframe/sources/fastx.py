@@ -208,3 +208,25 @@ def stream(spark: SparkSession, path: str, form: str = "fastq") -> DataFrame:
 
     schema = "path string, modificationTime timestamp, length long, content binary"
     return spark.readStream.format("binaryFile").schema(schema).load(path).select("path", "content").mapInArrow(run, SCHEMA)
+
+
+def total_bytes(spark: SparkSession, path: str) -> DataFrame:
+    """For each file: its bytes, and the bytes of its text. gzip files are inflated, each by one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, contents = batch.column(0), batch.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([names, pa.array([len(c) for c in contents], pa.int64()), pa.array([len(opened(c)) for c in contents], pa.int64())], names=["file", "bytes", "text_bytes"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, bytes long, text_bytes long")
+
+
+def has_records(spark: SparkSession, path: str) -> bool:
+    """Whether any file of a path has a line that isn't empty; an absent path has none."""
+    try:
+        lines = spark.read.text(path)
+    except Exception as e:  # Spark's own class for an absent path differs between its clients
+        if "PATH_NOT_FOUND" in str(e):
+            return False
+        raise
+    return not lines.where(F.length(F.trim("value")) > 0).limit(1).isEmpty()

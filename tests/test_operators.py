@@ -219,3 +219,11 @@ def test_bundle(spark, tmp_path):
         with pytest.raises(archive.ArchiveError):
             archive.bundle_of(bad)
     assert archive.bundle_of(archive.bundle_text(manifest)) == manifest and archive.ratio(10, 4) == 2.5 and archive.ratio(1, 0) == 0
+
+
+def test_sizes_and_presence(spark, tmp_path):
+    (tmp_path / "x.fastq.gz").write_bytes(gzip.compress(_text()))
+    (tmp_path / "empty.fastq").write_bytes(b"\n \n")
+    r = fastx.total_bytes(spark, f"file://{tmp_path}/x.fastq.gz").first()
+    assert r.text_bytes == len(_text()) and r.bytes == (tmp_path / "x.fastq.gz").stat().st_size
+    assert fastx.has_records(spark, f"file://{tmp_path}/x.fastq.gz") and not fastx.has_records(spark, f"file://{tmp_path}/empty.fastq") and not fastx.has_records(spark, f"file://{tmp_path}/none")
