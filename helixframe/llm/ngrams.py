@@ -266,7 +266,7 @@ def join(df: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataF
     signed = materialize(_signed(docs, ranked, shingle, percent), "ngram-signatures")
     shared = materialize(signed.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("sig"), "ngram-shared")
     meet = materialize(signed.where(passing(shared)("sig")).join(shared.hint("merge"), "sig"), "ngram-meetings")
-    bits = sets.where("node is not null").groupBy("node").agg(F.max("bits").alias("bits"))
+    bits = materialize(sets.where("node is not null").groupBy("node").agg(F.max("bits").alias("bits")), "ngram-bits")
 
     def bitmapped(rows: DataFrame, node: str, to: str) -> DataFrame:
         return rows.join(bits.select(F.col("node").alias(node), F.col("bits").alias(f"{to}bits")).hint("merge"), node)

@@ -75,7 +75,9 @@ def test_bitmaps_never_differ_more_than_sets(seed, n, m):
     assert ngrams.differing(ngrams.parities(x), ngrams.parities(y)) <= len(np.setxor1d(x, y))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW", few)
     rng = random.Random(1)
     edges = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(300)] + [(1000 + i, 1001 + i) for i in range(150)] + [(5000, 5001 + i) for i in range(200)] + [(7, 7)]
     of = {x: x for e in edges for x in e}
