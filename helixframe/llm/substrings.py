@@ -287,6 +287,7 @@ def with_spans(df: DataFrame, out: str = "spans") -> DataFrame:
     segments = materialize(_segments(rows, bloom(shared)).withColumn("seg", F.monotonically_increasing_id()), "segments")
     windows = _windows(segments)
     first = windows.groupBy("w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    first = materialize(first, "windows")  # read back, so that the join's two sides are plain shuffles, which hot windows can be split in
     found = windows.drop("doc_id").join(first.hint("merge"), "w").groupBy("seg").agg(F.collect_list(F.struct("off", "first")).alias("found"))
     runs = materialize(_runs(segments.join(found.hint("merge"), "seg")), "runs")
     shards = runs.where("own").groupBy("ref").agg(F.collect_set("text").alias("passages"))
