@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.text import BEYOND, Lists, Numbered, latin_pattern, mix, slices
+from helixframe.llm.text import BEYOND, Kept, latin_pattern, mix, slices
 
 NONE = np.int32(2**31 - 1)
 
@@ -67,19 +66,16 @@ class Codec:
 
     About ``kept`` distinct matches stay encoded; ``cells`` bounds a padded matrix."""
 
-    def __init__(self, vocabulary: str, pattern: str, kept: int = 400_000, cells: int = 1 << 20):
+    def __init__(self, vocabulary: str, pattern: str, kept: int = 250_000, cells: int = 1 << 18):
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.pairs = PairTable(ranks)
-        self.pattern, self.latin, self.kept, self.cells = regex.compile(pattern), latin_pattern(pattern), kept, cells
+        self.pattern, self.latin, self.cells = regex.compile(pattern), latin_pattern(pattern), cells
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
             self.tokens[r] = t
-        self._clear()
-
-    def _clear(self) -> None:
-        self.index, self.ids = Numbered(), Lists(np.int32)
+        self.known = Kept(np.int32, kept, lambda new: self.merge([m.encode() for m in new]))
 
     # -- merging ---------------------------------------------------------------------------------------------
 
@@ -204,17 +200,7 @@ class Codec:
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and the number of ids of each text."""
-        if len(self.index) > self.kept:
-            self._clear()
-        matches = [(self.pattern if BEYOND.search(t) else self.latin).findall(t) for t in texts]
-        counts = np.fromiter(map(len, matches), np.int64, len(texts))
-        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(matches)), np.int64, int(counts.sum()))
-        if new := self.index.new:
-            self.ids.append(*self.merge([m.encode() for m in new]))
-            self.index.new = []
-        flat, lengths = self.ids.gather(at)
-        bounds = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
-        return flat, np.diff(bounds)
+        return self.known.gather([(self.pattern if BEYOND.search(t) else self.latin).findall(t) for t in texts])
 
     def encode(self, text: str) -> list[int]:
         return self.encode_batch([text])[0].tolist()
@@ -247,18 +233,18 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids
 
     Needs no shuffle; memory is bounded by an Arrow batch (64 MB) and the longest text."""
     kept = [c for c in (keep if keep is not None else df.columns) if c != ids]
-    names = [*kept, "__text"]
+    passed = kept if text in kept else [*kept, text]  # the text goes along once
     schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary, pattern)
         for batch in batches:
-            for part, texts in slices(batch, "__text"):
+            for part, texts in slices(batch, text, 1 << 20):
                 flat, counts = own.encode_batch([(t or b"").decode() for t in texts])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], names=[*kept, ids])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], lists], names=[*kept, ids])
 
-    return df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text")).toDF(*names).mapInArrow(run, schema)
+    return df.select(*[f"`{c}`" for c in passed]).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

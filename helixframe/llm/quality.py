@@ -192,16 +192,17 @@ def score(df: DataFrame, net: Network, text: str = "text", out: str = "score", k
     """Adds the probability (double) of label 1 for each whole text. Null texts are empty ones, which have a score too; every
     row stays; a column named ``out`` is replaced. No shuffle; the network (about 20 KB) goes along with the tasks."""
     kept = [c for c in (keep if keep is not None else df.columns) if c != out]
+    passed = kept if text in kept else [*kept, text]  # the text goes along once
     schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(out, T.DoubleType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in slices(batch, "__text"):
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(net.scores([t or b"" for t in texts]), pa.float64())], names=[*kept, out])
+            for part, texts in slices(batch, text):
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(net.scores([t or b"" for t in texts]), pa.float64())], names=[*kept, out])
 
-    return df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, schema)
+    return df.select(*[f"`{c}`" for c in passed]).mapInArrow(run, schema)
 
 
 def keep_good(df: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:
     """The rows whose score is the threshold or more, with their columns."""
-    return score(df.select(F.struct("*").alias("__row"), "text"), net, out="__score", keep=["__row"]).where(F.col("__score") >= threshold).select("__row.*")
+    return score(df, net, out="__score").where(F.col("__score") >= threshold).select(*[f"`{c}`" for c in df.columns])
