@@ -66,7 +66,7 @@ class Codec:
 
     About ``kept`` distinct matches stay encoded; ``cells`` bounds a padded matrix."""
 
-    def __init__(self, vocabulary: str, pattern: str, kept: int = 250_000, cells: int = 1 << 18):
+    def __init__(self, vocabulary: str, pattern: str, kept: int = 120_000, cells: int = 1 << 18):
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.pairs = PairTable(ranks)

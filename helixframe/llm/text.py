@@ -115,7 +115,7 @@ def grams(words: np.ndarray, k: int) -> np.ndarray:
     return mix(_polynomials(words, k)) if len(words) >= k else np.zeros(0, np.uint64)
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Parts of a batch whose texts hold about ``limit`` bytes (one row at least), with the texts in UTF-8."""
     texts = batch.column(batch.schema.get_field_index(column)).cast(pa.binary())
     start = held = 0
