@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.functions.seq import reverse_complement
+
 #: Under so many reads one key window is enough.
 ONE_WINDOW_BELOW = 50_000
 #: Bits of the codes of the bases: two for pairs of reads, three for reads against contigs.
@@ -69,20 +71,41 @@ def shift_keys(reads: DataFrame, windows: list[tuple[int, int]], tried: range) -
     return rows.where(F.length("seq") > F.col("k.last")).select("ordinal", "seq", "k.dict", "k.shift", "k.key")
 
 
+def probes(reads: DataFrame, windows: list[tuple[int, int]], tried: range) -> DataFrame:
+    """ordinal, orientation, shift, dict, key (a hash): what a read that lies ``shift`` places behind another one (before it where negative), or
+    behind the other one's reverse complement (orientation r), would have in a window."""
+    both = sorted({*tried, *(-t for t in tried)})
+    # as in the reference, a window of a read that lies before another one starts beyond that one's first base
+    looks = [(d, t, a + t + 1, b - a + 1, b + t) for d, (a, b) in enumerate(windows) for t in both if t >= 0 or a > -t]
+    looks = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("dict", "shift", "at", "width", "last"), look, strict=True)]) for look in looks])
+    ways = F.array(F.struct(F.lit("d").alias("orientation"), F.col("seq").alias("z")), F.struct(F.lit("r").alias("orientation"), reverse_complement(F.col("seq")).alias("z")))
+    rows = reads.select("ordinal", F.explode(ways).alias("w")).select("ordinal", "w.*", F.explode(looks.cast("array<struct<dict int, shift int, at int, width int, last int>>")).alias("k"))
+    rows = rows.where(F.length("z") > F.col("k.last"))
+    return rows.select("ordinal", "orientation", "k.shift", "k.dict", F.xxhash64(F.substring(F.col("z"), F.col("k.at"), F.col("k.width"))).alias("key"))
+
+
 def overlaps(reads: DataFrame, windows: list[tuple[int, int]], tried: range, most: int = 4) -> DataFrame:
-    """a, b, shift, distance: reads b that lie ``shift`` places behind a and differ over the overlap by ``most`` bits at most."""
-    left = shift_keys(reads, windows, tried).select(F.col("ordinal").alias("a"), F.col("seq").alias("x"), "dict", "shift", "key")
-    right = keyed(reads, windows).select(F.col("ordinal").alias("b"), F.col("seq").alias("y"), "dict", "key")
-    n = F.least(F.length("x") - F.col("shift"), F.length("y"))
-    pairs = left.join(right, ["dict", "key"]).where((F.col("a") < F.col("b")) | ((F.col("shift") > 0) & (F.col("a") != F.col("b"))))
-    distance = bit_distance(F.substring(F.col("x"), F.col("shift") + 1, n), F.substring(F.col("y"), F.lit(1), n))
-    return pairs.withColumn("distance", distance).where(F.col("distance") <= most).select("a", "b", "shift", "distance").distinct()
+    """a, b, shift, orientation, distance: reads b after a (by ordinal) that lie ``shift`` places behind a (orientation d) or its reverse complement (r),
+    before it where negative, have a window in common with it, and differ over the overlap by ``most`` bits at most."""
+    left = probes(reads, windows, tried).withColumnRenamed("ordinal", "a")
+    right = keyed(reads, windows).select(F.col("ordinal").alias("b"), F.col("seq").alias("y"), "dict", F.xxhash64("key").alias("key"))
+    pairs = left.join(right.hint("merge"), ["dict", "key"]).where("a < b").drop("key")
+    pairs = pairs.join(reads.select(F.col("ordinal").alias("a"), F.col("seq").alias("x")).hint("merge"), "a")
+    shift, y = F.col("shift"), F.col("y")
+    pairs = pairs.withColumn("z", F.when(F.col("orientation") == "r", reverse_complement(F.col("x"))).otherwise(F.col("x")))
+    # each pair once, by the first window that it has in common; the windows themselves are compared here, not their hashes
+    common = [F.when((F.length("z") > b + shift) & (F.length("y") > b) & ((shift >= 0) | (F.lit(a) > -shift)) & (F.substring(F.col("z"), a + shift + 1, F.lit(b - a + 1)) == F.substring(y, F.lit(a + 1), F.lit(b - a + 1))), d) for d, (a, b) in enumerate(windows)]
+    pairs = pairs.where(F.coalesce(*common) == F.col("dict"))
+    first = F.greatest(F.lit(0), -shift)
+    n = F.least(F.length("z") - shift, F.length("y")) - first
+    u, v = F.substring(F.col("z"), first + shift + 1, n), F.substring(y, first + 1, n)
+    return pairs.withColumn("distance", F.when(u == v, 0).otherwise(bit_distance(u, v))).where(F.col("distance") <= most).select("a", "b", "shift", "orientation", "distance")
 
 
 def best_before(overlaps: DataFrame) -> DataFrame:
-    """For each read the one that it follows: of the reads before it by ordinal, the nearest by (distance, shift, ordinal)."""
-    best = F.min(F.struct("distance", "shift", F.col("a").alias("before")))
-    return overlaps.where("a < b").groupBy(F.col("b").alias("ordinal")).agg(best.alias("m")).select("ordinal", "m.before", "m.shift", "m.distance")
+    """For each read the one that it hangs on: of the reads before it by ordinal, on either side and strand, the nearest by (distance, places apart, ordinal)."""
+    best = F.min(F.struct("distance", F.abs("shift").alias("apart"), F.col("a").alias("before"), (F.col("shift") < 0).alias("left"), "orientation", "shift"))
+    return overlaps.where("a < b").groupBy(F.col("b").alias("ordinal")).agg(best.alias("m")).select("ordinal", "m.before", "m.shift", "m.orientation", "m.distance")
 
 
 def absorbed(contigs: DataFrame, reads: DataFrame, windows: list[tuple[int, int]], most: int = 24) -> DataFrame:

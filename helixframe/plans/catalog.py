@@ -569,5 +569,7 @@ def overlap_roundtrip(r):
 
 @query()
 def greedy_clusters(r):
-    """Each read with the one that it follows: the nearest of those before it whose overlap it shares."""
-    return overlap.best_before(overlap.overlaps(r.select("ordinal", "seq"), WINDOWS[:1], range(0, 3)))
+    """Each read with the one that it hangs on: the nearest of those before it whose overlap it shares, on either side and strand."""
+    n, longest = r.agg(F.count("*"), F.max(F.length("seq"))).first()
+    longest = longest or 0
+    return overlap.best_before(overlap.overlaps(r.select("ordinal", "seq"), overlap.windows_for(n, overlap.middle_windows(longest)), overlap.shifts(longest)))

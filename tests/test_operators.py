@@ -227,3 +227,52 @@ def test_sizes_and_presence(spark, tmp_path):
     r = fastx.total_bytes(spark, f"file://{tmp_path}/x.fastq.gz").first()
     assert r.text_bytes == len(_text()) and r.bytes == (tmp_path / "x.fastq.gz").stat().st_size
     assert fastx.has_records(spark, f"file://{tmp_path}/x.fastq.gz") and not fastx.has_records(spark, f"file://{tmp_path}/empty.fastq") and not fastx.has_records(spark, f"file://{tmp_path}/none")
+
+
+_COMPLEMENT = str.maketrans("ACGTN", "TGCAN")
+_BITS_OF = {("A", "T"), ("T", "A"), ("C", "G"), ("G", "C")}
+
+
+def _sample_reads(rng, n=70, contigs=4):
+    """Reads of 40 to 60 bases of a few contigs, of both strands, some with a changed base or an N."""
+    whole = ["".join(rng.choice("ACGT") for _ in range(96)) for _ in range(contigs)]
+    out = []
+    for _ in range(n):
+        c = rng.choice(whole)
+        length = rng.choice([60, 60, 60, 50, 40])
+        at = rng.randrange(96 - length)
+        s = list(c[at : at + length])
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            s[rng.randrange(length)] = rng.choice("ACGTN")
+        s = "".join(s)
+        out.append(s if rng.random() < 0.6 else s.translate(_COMPLEMENT)[::-1])
+    return whole, out
+
+
+def _before(seqs, windows, tried):
+    """The reference's search (forward and reverse match, right and left), one pair, strand, shift and window after another."""
+    found = {}
+    for b, y in enumerate(seqs):
+        for a in range(b):
+            for way, z in (("d", seqs[a]), ("r", seqs[a].translate(_COMPLEMENT)[::-1])):
+                for t in {*tried, *(-t for t in tried)}:
+                    met = any(len(y) > q and 0 <= p + t and q + t < len(z) and (t >= 0 or p > -t) and z[p + t : q + t + 1] == y[p : q + 1] for p, q in windows)
+                    over = [(z[i + t], y[i]) for i in range(len(y)) if 0 <= i + t < len(z)]
+                    distance = sum(0 if u == v else 2 if (u, v) in _BITS_OF else 1 for u, v in over)
+                    if met and distance <= 4:
+                        found[b] = min(found.get(b, (99,)), (distance, abs(t), a, t < 0, way, t))
+    return sorted((b, m[2], m[5], m[4], m[0]) for b, m in found.items())
+
+
+def test_greedy_clusters_find_every_link(spark, monkeypatch):
+    from helixframe.plans import catalog
+
+    _, seqs = _sample_reads(random.Random(5))
+    monkeypatch.setattr(catalog, "reads", lambda spark, sf_dir: spark.createDataFrame(list(enumerate(seqs)), "ordinal long, seq string"))
+    for below, n in ((50_000, 1), (10, 2)):
+        monkeypatch.setattr(overlap, "ONE_WINDOW_BELOW", below)
+        want = _before(seqs, overlap.middle_windows(60)[:n], range(30))
+        assert {w[3] for w in want} == {"d", "r"} and min(w[2] for w in want) < 0 and max(abs(w[2]) for w in want) > 10
+        assert sorted(tuple(r) for r in catalog.QUERIES["greedy_clusters"](spark, "").collect()) == want
+    monkeypatch.setattr(catalog, "reads", lambda spark, sf_dir: spark.createDataFrame([], "ordinal long, seq string"))
+    assert catalog.QUERIES["greedy_clusters"](spark, "").collect() == []
