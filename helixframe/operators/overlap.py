@@ -59,6 +59,14 @@ def bit_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.when(x == y, 0).when(far(x, y), 2).otherwise(1)), F.lit(0), lambda s, d: s + d)
 
 
+def bit_distance3(a: Column, b: Column) -> Column:
+    """Differing bits of the bases' three-bit codes, in which N has a bit of its own: N and A count 1, N and C or G 2, N and T 3."""
+    bits = {"A": 0, "G": 2, "C": 4, "T": 6, "N": 1}
+    apart = lambda k: [x + y for x in bits for y in bits if (bits[x] ^ bits[y]).bit_count() == k]
+    pair = lambda x, y: F.when(x == y, 0).when(F.concat(x, y).isin(*apart(3)), 3).when(F.concat(x, y).isin(*apart(2)), 2).otherwise(1)
+    return F.aggregate(F.zip_with(F.split(a, ""), F.split(b, ""), pair), F.lit(0), lambda s, d: s + d)
+
+
 def shifts(max_len: int) -> range:
     """Shifts that are tried: below half the length, 50 at most, every second one for long reads."""
     return range(0, min(max_len // 2, 50), 2 if max_len > 100 else 1)
@@ -109,16 +117,23 @@ def best_before(overlaps: DataFrame) -> DataFrame:
 
 
 def absorbed(contigs: DataFrame, reads: DataFrame, windows: list[tuple[int, int]], most: int = 24) -> DataFrame:
-    """Reads that a contig may take in: contig_id, ordinal, place, distance (the least by contig). contigs: contig_id, seq."""
-    (a, b) = windows[0]
-    width = b - a + 1
-    places = F.sequence(F.lit(1), F.length("seq") - (width - 1))
-    each = contigs.where(F.length("seq") >= width).select("contig_id", F.col("seq").alias("x"), F.explode(F.transform(places, lambda i: F.struct((i - 1 - a).alias("at"), F.substring(F.col("seq"), i, F.lit(width)).alias("key")))).alias("k"))
-    own = keyed(reads, [(a, b)]).select("ordinal", F.col("seq").alias("y"), "key")
-    met = each.where("k.at >= 0").select("contig_id", "x", "k.at", "k.key").join(own, "key")
-    met = met.where(F.col("at") + F.length("y") <= F.length("x"))
-    d = bit_distance(F.substring(F.col("x"), F.col("at") + 1, F.length("y")), F.col("y"))
-    return met.withColumn("distance", d).where(F.col("distance") <= most).groupBy("contig_id", "ordinal").agg(F.min(F.struct("distance", "at")).alias("m")).select("contig_id", "ordinal", F.col("m.at").cast("int").alias("place"), "m.distance")
+    """Reads that a contig may take in, by any of the windows: contig_id, ordinal, place, orientation (r: the read's reverse complement lies at this
+    place), distance (the least by contig, in bits of three-bit codes). contigs: contig_id, seq."""
+    ways = F.array(F.struct(F.lit("d").alias("orientation"), F.col("seq").alias("x")), F.struct(F.lit("r").alias("orientation"), reverse_complement(F.col("seq")).alias("x")))
+    each = contigs.select("contig_id", F.explode(ways).alias("w")).select("contig_id", "w.*")
+    looks = []
+    for d, (a, b) in enumerate(windows):
+        width = b - a + 1
+        places = F.when(F.length("x") > b, F.sequence(F.lit(0), F.length("x") - (b + 1))).otherwise(F.array().cast("array<int>"))
+        looks.append(F.transform(places, lambda i: F.struct(F.lit(d).alias("dict"), i.alias("at"), F.substring(F.col("x"), i + (a + 1), F.lit(width)).alias("key"))))
+    each = each.select("contig_id", "orientation", "x", F.explode(F.concat(*looks)).alias("k")).select("contig_id", "orientation", "x", "k.*")
+    own = keyed(reads, windows).select("ordinal", F.col("seq").alias("y"), "dict", "key")
+    met = each.join(own, ["dict", "key"]).where(F.col("at") + F.length("y") <= F.length("x"))
+    over = F.substring(F.col("x"), F.col("at") + 1, F.length("y"))
+    place = F.when(F.col("orientation") == "r", F.length("x") - F.col("at") - F.length("y")).otherwise(F.col("at"))
+    met = met.withColumns({"distance": F.when(over == F.col("y"), 0).otherwise(bit_distance3(over, F.col("y"))), "place": place}).where(F.col("distance") <= most)
+    best = F.min(F.struct("distance", "place", "orientation"))
+    return met.groupBy("contig_id", "ordinal").agg(best.alias("m")).select("contig_id", "ordinal", F.col("m.place").cast("int").alias("place"), "m.orientation", "m.distance")
 
 
 def unclaimed(reads: DataFrame, claimed: DataFrame) -> DataFrame:

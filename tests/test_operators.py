@@ -276,3 +276,23 @@ def test_greedy_clusters_find_every_link(spark, monkeypatch):
         assert sorted(tuple(r) for r in catalog.QUERIES["greedy_clusters"](spark, "").collect()) == want
     monkeypatch.setattr(catalog, "reads", lambda spark, sf_dir: spark.createDataFrame([], "ordinal long, seq string"))
     assert catalog.QUERIES["greedy_clusters"](spark, "").collect() == []
+
+
+def test_absorbed_by_every_window_and_strand(spark):
+    """All contigs, reads, strands and places, compared base by base."""
+    whole, seqs = _sample_reads(random.Random(6))
+    windows = overlap.head_windows(60)
+    bits = {"A": 0, "G": 2, "C": 4, "T": 6, "N": 1}
+    want = {}
+    for c, contig in enumerate(whole):
+        for way, x in (("d", contig), ("r", contig.translate(_COMPLEMENT)[::-1])):
+            for i, y in enumerate(seqs):
+                for at in range(len(x) - len(y) + 1):
+                    z = x[at : at + len(y)]
+                    distance = sum((bits[u] ^ bits[v]).bit_count() for u, v in zip(z, y, strict=True))
+                    if distance <= 24 and any(len(y) > q and z[p : q + 1] == y[p : q + 1] for p, q in windows):
+                        place = at if way == "d" else len(x) - at - len(y)
+                        want[c, i] = min(want.get((c, i), (99,)), (distance, place, way))
+    assert {w[2] for w in want.values()} == {"d", "r"}
+    got = overlap.absorbed(spark.createDataFrame(list(enumerate(whole)), "contig_id long, seq string"), spark.createDataFrame(list(enumerate(seqs)), "ordinal long, seq string"), windows).collect()
+    assert sorted(tuple(r) for r in got) == sorted((c, i, place, way, distance) for (c, i), (distance, place, way) in want.items())
