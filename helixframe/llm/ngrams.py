@@ -15,6 +15,7 @@ documents: equal sets are one row."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -85,9 +86,15 @@ def slack(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100)
 
 
+@cache
 def groups_for(n: int, percent: int = PERCENT) -> int:
-    """Into how many groups the frequent tokens of sets of n tokens are dealt: a power of two, so that each has a few in a prefix."""
-    return 1 << max(2, (max(1, slack(n, percent)) // 6).bit_length() - 1)
+    """Into how many groups the frequent tokens of sets of n tokens, and of smaller ones similar to these, are dealt: a power of two, so that each has
+    a few in a prefix, and so few that each of these sets, all frequent, has enough tokens besides one of each group (for a percentage above 50)."""
+    groups = 1 << max(2, (max(1, slack(n, percent)) // 6).bit_length() - 1)
+    sizes = range(max(1, -(-percent * n // 100)), n + 1)
+    while groups > 1 and any(m - min(m, groups) <= slack(m, percent) for m in sizes):
+        groups //= 2
+    return groups
 
 
 def signatures(tokens: np.ndarray, frequent_rank: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int, np.ndarray]:

@@ -162,3 +162,40 @@ def test_sql_gives_the_same_rows(spark, sf_dir):
     c.sql(f"create view documents as select * from '{sf_dir}/documents.parquet'")
     got = sorted(tuple(r) for r in queries.QUERIES["op3_ngram_jaccard"](spark, sf_dir).collect())
     assert got == sorted(c.sql(queries.ORACLE_SQL["op3_ngram_jaccard"]).fetchall())
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_small_sets_of_frequent_tokens_meet(percent):
+    """As above, from one token on, where all tokens are frequent and the larger set holds the smaller."""
+    rng = np.random.default_rng(8)
+    for size in range(1, 13):
+        for larger in range(size + 1, 100 * size // percent + 1):
+            for _ in range(200):
+                y = np.sort(rng.integers(0, 2**63, larger, dtype=np.uint64))
+                rank = rng.permutation(larger)
+                inside = np.sort(rng.permutation(larger)[:size])
+                sigs = [np.concatenate([s[0], s[2]]) for s in (ngrams.signatures(y[inside], rank[inside], percent), ngrams.signatures(y, rank, percent))]
+                assert len(np.intersect1d(*sigs))
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_every_size_has_second_members_enough(percent):
+    """Both group counts that a set uses: the counts of all similar sizes, and few enough even if all tokens are frequent."""
+    for n in range(1, 3000):
+        used = {ngrams.groups_for(n, percent), ngrams.groups_for(100 * n // percent, percent)}
+        assert used == {ngrams.groups_for(m, percent) for m in range(n, 100 * n // percent + 1)}
+        if ngrams.slack(100 * n // percent, percent):
+            assert n - min(n, max(used)) > ngrams.slack(n, percent)
+
+
+def test_a_short_notice_keeps_its_variants_together(spark, monkeypatch):
+    """Variants of one word more link only through the notice."""
+    rng = random.Random(4)
+    notices = [[f"n{k}w{i}" for i in range(8)] for k in range(12)]
+    rows = []
+    for k, notice in enumerate(notices):
+        rows.append((1000 * k, " ".join(notice)))
+        rows += [(1000 * k + 1 + i, " ".join([f"x{rng.random()}", *notice] if i % 2 else [*notice, f"x{rng.random()}"])) for i in range(40)]
+    monkeypatch.setattr(ngrams, "LOCAL", 1)
+    kept = ngrams.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    assert sorted(r.doc_id for r in kept) == [1000 * k for k in range(12)]
