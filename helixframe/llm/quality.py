@@ -20,8 +20,10 @@ from helixframe.llm.text import slices
 
 WIDTH, STRIDE, CHUNK, EMBED, FILTERS = 12, 4, 512, 4, 32
 REACH = WIDTH - STRIDE
-#: Labelled texts that the fit takes at most (those with the least hashes of doc_id), chunks of each (spread over the whole text), passes.
-SAMPLE, SAMPLE_CHUNKS, PASSES = 3000, 12, 14
+#: Labelled texts that the fit takes at most (whole, those with the least hashes of doc_id), bytes of text from which it takes no more of them, passes.
+SAMPLE, SAMPLE_BYTES, PASSES = 3000, 64_000_000, 14
+#: Chunks that the fit looks at together.
+TOGETHER = 256
 #: A document whose probability is below this is predicted 0.
 THRESHOLD = 0.3
 SEED = 11
@@ -120,6 +122,18 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = SEED, passes: i
         state[name] = (m, v)
         return (value - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)).astype(value.dtype)
 
+    def parts(rows: np.ndarray) -> Iterator[np.ndarray]:
+        """The chunks of the texts, one text after another, about TOGETHER of them in each part."""
+        held: list[np.ndarray] = []
+        for r in rows:
+            for i in range(0, len(texts[r]), TOGETHER):
+                held.append(texts[r][i : i + TOGETHER])
+                if sum(map(len, held)) >= TOGETHER:
+                    yield np.concatenate(held)
+                    held = []
+        if held:
+            yield np.concatenate(held)
+
     size = 48
     for turn in range(passes):
         rate = 0.004 * (1 - turn / passes) + 0.0004
@@ -127,34 +141,44 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = SEED, passes: i
         for start in range(0, len(order), size):
             rows = order[start : start + size]
             step += 1
-            chunks = np.concatenate([texts[r] for r in rows])
             n = np.array([len(texts[r]) for r in rows])
             starts = np.cumsum(n) - n
             own = np.repeat(np.arange(len(rows)), n)
-            high, at = net.responses(chunks)
+            found = [net.responses(chunks) for chunks in parts(rows)]
+            high, at = np.concatenate([h for h, _ in found]), np.concatenate([a.astype(np.int16) for _, a in found])
+            del found
             mean = np.add.reduceat(high, starts, axis=0) / n[:, None]
             most = np.maximum.reduceat(high, starts, axis=0)
             z = np.concatenate([mean, most], axis=1).astype(np.float64)
             p = 1 / (1 + np.exp(-(z @ net.weights + net.bias)))
             d = (p - labels[rows]) / len(rows)
             dz = d[:, None] * net.weights
-            dh = dz[own, :FILTERS] / n[own, None] + dz[own, FILTERS:] * (high == most[own])
-            dh *= high > 0
-            c, f = np.nonzero(dh)
-            g = dh[c, f].astype(np.float32)
-            byte = chunks[c[:, None], at[c, f][:, None] * STRIDE + np.arange(WIDTH)]
-            seen = net.embed[byte].reshape(len(c), -1)
             d_filters = np.zeros((FILTERS, WIDTH * EMBED), np.float32)
-            by = np.argsort(f, kind="stable")
-            firsts = np.flatnonzero(np.concatenate([[True], f[by][1:] != f[by][:-1]])) if len(by) else np.zeros(0, int)
-            if len(by):
-                d_filters[f[by][firsts]] = np.add.reduceat(seen[by] * g[by, None], firsts, axis=0)
-            d_seen = (g[:, None] * net.filters.T[f]).reshape(-1, EMBED)
-            flat = byte.ravel()
-            d_embed = np.stack([np.bincount(flat, d_seen[:, e], 256) for e in range(EMBED)], axis=1).astype(np.float32)
+            d_embed = np.zeros((256, EMBED), np.float32)
+            d_shift = np.zeros(FILTERS)
+            done = 0
+            for chunks in parts(rows):
+                here = slice(done, done + len(chunks))
+                done += len(chunks)
+                of = own[here]
+                dh = dz[of, :FILTERS] / n[of, None] + dz[of, FILTERS:] * (high[here] == most[of])
+                dh *= high[here] > 0
+                d_shift += dh.sum(axis=0)
+                c, f = np.nonzero(dh)
+                if not len(c):
+                    continue
+                g = dh[c, f].astype(np.float32)
+                byte = chunks[c[:, None], at[here][c, f][:, None].astype(np.int64) * STRIDE + np.arange(WIDTH)]
+                seen = net.embed[byte].reshape(len(c), -1)
+                by = np.argsort(f, kind="stable")
+                firsts = np.flatnonzero(np.concatenate([[True], f[by][1:] != f[by][:-1]]))
+                d_filters[f[by][firsts]] += np.add.reduceat(seen[by] * g[by, None], firsts, axis=0)
+                d_seen = (g[:, None] * net.filters.T[f]).reshape(-1, EMBED)
+                flat = byte.ravel()
+                d_embed += np.stack([np.bincount(flat, d_seen[:, e], 256) for e in range(EMBED)], axis=1).astype(np.float32)
             net.filters = adam("filters", net.filters, d_filters.T + 1e-5 * net.filters, rate)
             net.embed = adam("embed", net.embed, d_embed + 1e-5 * net.embed, rate)
-            net.shift = adam("shift", net.shift, dh.sum(axis=0).astype(np.float32), rate)
+            net.shift = adam("shift", net.shift, d_shift.astype(np.float32), rate)
             net.weights = adam("weights", net.weights, d @ z + 1e-4 * net.weights, rate * 2)
             net.bias = float(adam("bias", np.array(net.bias), np.array(d.sum()), rate * 2))
     return net
@@ -167,25 +191,20 @@ def held_out(doc_id, parts: int = 5, part: int = 0):
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     """Fits a network to the labels (doc_id, quality 0 or 1) of at most ``sample`` documents that aren't held out: those whose
-    ids have the least hashes. Labels that are null are left out; of several labels for an id, the lowest counts. What
-    comes to the driver is at most SAMPLE_CHUNKS chunks of each sampled text, spread evenly over the whole of it."""
+    ids have the least hashes, whole texts, and no more of these than bring SAMPLE_BYTES. Labels that are null are left out; of several labels for an
+    id, the lowest counts. What comes to the driver is these texts."""
     known = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     # as many ids as the sample may have, so of a bounded size
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in slices(batch, "text"):
-                out = []
-                for t in texts:
-                    own = chunks_of(t or b"")
-                    out.append(own[np.unique(np.linspace(0, len(own) - 1, SAMPLE_CHUNKS).round().astype(int))].tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(out, pa.binary())], names=["doc_id", "quality", "chunks"])
-
-    got = rows.select("doc_id", "text", F.col("quality").cast("int")).mapInArrow(run, "doc_id long, quality int, chunks binary").collect()
-    got.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.chunks))
-    return fit([np.frombuffer(r.chunks, np.uint8).reshape(-1, CHUNK + REACH) for r in got], np.array([r.quality for r in got], np.float64))
+    sizes = rows.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("bytes")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    before = np.cumsum([0, *(r.bytes for r in sizes)])[:-1]
+    taken = [(r.doc_id,) for r, b in zip(sizes, before, strict=True) if b < SAMPLE_BYTES]
+    if len(taken) < len(sizes):
+        rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(taken, "doc_id long")), "doc_id")
+    got = rows.select("doc_id", F.col("quality").cast("int"), F.col("text").cast("binary").alias("text")).collect()
+    got.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.text))
+    return fit([chunks_of(bytes(r.text)) for r in got], np.array([r.quality for r in got], np.float64))
 
 
 def score(df: DataFrame, net: Network, text: str = "text", out: str = "score", keep: list[str] | None = None) -> DataFrame:

@@ -76,3 +76,35 @@ def test_query(spark):
     assert np.mean([a == b for a, b in held]) >= 0.92
     good = [b for a, b in held if a == 1]
     assert np.mean(good) >= 0.97
+
+
+def test_the_fit_sees_whole_texts(spark, monkeypatch):
+    """What is given to the fit are all chunks of each sampled text; a bound on bytes leaves texts out, and cuts none."""
+    rng = np.random.default_rng(6)
+    texts = {i: "".join(map(chr, rng.integers(97, 123, 20_000))) for i in range(40)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda chunks, labels: seen.append(chunks))
+    quality.train(docs, labels)
+    whole = {quality.chunks_of(t.encode()).tobytes() for t in texts.values()}
+    assert len(seen[0]) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in texts) and {c.tobytes() for c in seen[0]} <= whole
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 50_000)
+    quality.train(docs, labels)
+    assert len(seen[1]) == 3 and {c.tobytes() for c in seen[1]} <= whole
+
+
+def test_fit_finds_defects_in_any_chunk_and_in_parts(monkeypatch):
+    """Long texts whose only defect is in one of 40 chunks; looked at in parts of any size with the same result."""
+    rng = np.random.default_rng(1)
+    letters = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8))
+    labels = np.array([i % 2 for i in range(60)], np.float64)
+    texts = []
+    for y in labels:
+        at = int(rng.integers(0, 20_000))
+        texts.append(letters(at) + (b"" if y else b" BAD!! BAD!!" * 9) + letters(20_000 - at))
+    chunks = [quality.chunks_of(t) for t in texts]
+    one = quality.fit(chunks, labels, passes=1)
+    monkeypatch.setattr(quality, "TOGETHER", 7)
+    other = quality.fit(chunks, labels, passes=1)
+    assert np.allclose(one.filters, other.filters, atol=1e-3) and np.allclose(one.scores(texts), other.scores(texts), atol=1e-3)
