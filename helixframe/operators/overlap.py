@@ -75,7 +75,7 @@ def shifts(max_len: int) -> range:
 def shift_keys(reads: DataFrame, windows: list[tuple[int, int]], tried: range) -> DataFrame:
     """ordinal, seq, dict, shift, key: what a read that lies ``shift`` places to the right would have in a window."""
     keys = F.array(*[F.struct(F.lit(d).alias("dict"), F.lit(s).alias("shift"), F.substring("seq", a + s + 1, b - a + 1).alias("key"), F.lit(b + s).alias("last")) for d, (a, b) in enumerate(windows) for s in tried])
-    rows = reads.select("ordinal", "seq", F.explode(keys).alias("k"))
+    rows = reads.select("ordinal", "seq", F.explode(keys.cast("array<struct<dict int, shift int, key string, last int>>")).alias("k"))
     return rows.where(F.length("seq") > F.col("k.last")).select("ordinal", "seq", "k.dict", "k.shift", "k.key")
 
 

@@ -296,3 +296,20 @@ def test_absorbed_by_every_window_and_strand(spark):
     assert {w[2] for w in want.values()} == {"d", "r"}
     got = overlap.absorbed(spark.createDataFrame(list(enumerate(whole)), "contig_id long, seq string"), spark.createDataFrame(list(enumerate(seqs)), "ordinal long, seq string"), windows).collect()
     assert sorted(tuple(r) for r in got) == sorted((c, i, place, way, distance) for (c, i), (distance, place, way) in want.items())
+
+
+def test_shift_candidates_have_every_shift(spark, monkeypatch):
+    from helixframe.plans import catalog
+
+    _, seqs = _sample_reads(random.Random(7))
+    monkeypatch.setattr(catalog, "reads", lambda spark, sf_dir: spark.createDataFrame(list(enumerate(seqs)), "ordinal long, seq string"))
+    want = []
+    for d, (a, b) in enumerate(overlap.middle_windows(60)):
+        for t in range(30):
+            keys = [s[a + t : b + t + 1] for s in seqs if len(s) > b + t]
+            if keys:
+                want.append((t, d, len(keys), len(set(keys))))
+    assert sorted(tuple(r) for r in catalog.QUERIES["shift_candidates"](spark, "").collect()) == sorted(want)
+    assert {w[0] for w in want} == set(range(30))
+    monkeypatch.setattr(catalog, "reads", lambda spark, sf_dir: spark.createDataFrame([], "ordinal long, seq string"))
+    assert catalog.QUERIES["shift_candidates"](spark, "").collect() == []
