@@ -263,6 +263,11 @@ def join(df: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataF
     Words are split at ASCII white space, A-Z in lower case. Null and empty texts have empty sets, link with nothing and are their own
     component. Rows with equal sets link; rows that repeat a doc_id are documents of their own that share the number;
     a null doc_id is no number to reach, and null where a component has no other. An empty table gives an empty one."""
+    return _labelled(df, shingle, percent).drop("label")
+
+
+def _labelled(df: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The rows of ``join`` with the label of their component, which two components never share (null for empty sets)."""
     docs = df.select(F.col("doc_id").cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     found = materialize(_sets(docs, shingle), "ngram-sets")
     sets = found.where("n is not null").withColumn("id", F.coalesce("doc_id", F.lit(0)))
@@ -304,14 +309,14 @@ def join(df: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataF
     roots = components(links)
     named = sets.join(roots.hint("merge"), "node", "left").select("doc_id", "h", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("label"))
     least = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
-    return named.join(least.hint("merge"), "label", "left").select("doc_id", "h", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    return named.join(least.hint("merge"), "label", "left").select("doc_id", "h", "n_shingles", "label", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def one_of_each(df: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``df`` of which each component of similar documents keeps one, that with the smallest doc_id (of rows that share it, the one
     with the least hash of its text). Rows with an empty set and rows with a null doc_id stay."""
-    found = join(df.select("doc_id", "text"), shingle, percent).where("n_shingles > 0 and doc_id is not null and doc_id = component_id")
-    first = found.groupBy(F.col("doc_id").alias("__d")).agg(F.min("h").alias("__h"))
+    found = _labelled(df.select("doc_id", "text"), shingle, percent).where("n_shingles > 0 and doc_id is not null")
+    first = found.groupBy("label").agg(F.min(F.struct("doc_id", "h")).alias("m")).select(F.col("m.doc_id").alias("__d"), F.col("m.h").alias("__h"))
     h = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     empty = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     rows = df.withColumns({"__d": F.col("doc_id").cast("long"), "__h": h, "__free": empty | F.col("doc_id").isNull()})

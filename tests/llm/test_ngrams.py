@@ -199,3 +199,11 @@ def test_a_short_notice_keeps_its_variants_together(spark, monkeypatch):
     monkeypatch.setattr(ngrams, "LOCAL", 1)
     kept = ngrams.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
     assert sorted(r.doc_id for r in kept) == [1000 * k for k in range(12)]
+
+
+def test_components_that_share_a_number_both_stay(spark):
+    """Two unlike texts with one doc_id, each the smallest of its component."""
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, a)]
+    kept = ngrams.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, a), (1, b)])
