@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.scratch import ship
@@ -75,29 +77,61 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0]
 
 
-def hash_words(texts: list[bytes | None]) -> Words:
-    """64-bit hashes of all words: a word's bytes, each by a fixed random number, in a polynomial, and its length. Sums run
-    along the bytes of all texts, so that no word is touched on its own."""
-    raw = b"\n".join(t or b"" for t in texts) + b"\n"
-    data = np.frombuffer(raw, np.uint8)
-    space = _IS_SPACE[data]
-    edges = np.flatnonzero(np.diff(space, prepend=True))
-    starts, ends = edges[::2], edges[1::2]
-    hashes = np.empty(len(starts), np.uint64)
+def hash_runs(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: list[Callable[[np.ndarray], np.ndarray]]) -> list[np.ndarray]:
+    """By each of ``values`` (a fixed random number for each code), 64-bit hashes of the runs of codes: a polynomial of these numbers, and
+    the run's length. Sums run along all codes, so that no run is touched on its own. Runs are ascending and apart, none is empty."""
+    out = [np.empty(len(starts), np.uint64) for _ in values]
     i = 0
     while i < len(starts):
         at = int(starts[i])
         j = max(i + 1, int(np.searchsorted(ends, at + _BLOCK, side="right")))
-        up, down = _tables(int(ends[j - 1]) - at)
-        sums = np.cumsum(_BYTE[data[at : ends[j - 1]]] * up[: ends[j - 1] - at])
+        n = int(ends[j - 1]) - at
+        up, down = _tables(n)
         s, e = starts[i:j] - at, ends[i:j] - at
-        before = np.where(s > 0, sums[s - 1], np.uint64(0))
-        hashes[i:j] = (sums[e - 1] - before) * down[s] + (e - s).astype(np.uint64) * _M2
+        for value, hashes in zip(values, out, strict=True):
+            sums = np.cumsum(value(codes[at : at + n]) * up[:n])
+            before = np.where(s > 0, sums[s - 1], np.uint64(0))
+            hashes[i:j] = (sums[e - 1] - before) * down[s] + (e - s).astype(np.uint64) * _M2
         i = j
+    return [mix(h) for h in out]
+
+
+def hash_words(texts: list[bytes | None]) -> Words:
+    """64-bit hashes of all words, of their bytes; see ``hash_runs``."""
+    raw = b"\n".join(t or b"" for t in texts) + b"\n"
+    data = np.frombuffer(raw, np.uint8)
+    edges = np.flatnonzero(np.diff(_IS_SPACE[data], prepend=True))
+    starts, ends = edges[::2], edges[1::2]
     lengths = np.fromiter((len(t or b"") + 1 for t in texts), np.int64, len(texts))
     first = np.cumsum(lengths) - lengths
     doc = np.searchsorted(first, starts, side="right") - 1
-    return Words(mix(hashes), doc, starts, ends, raw, np.searchsorted(doc, np.arange(len(texts) + 1)))
+    return Words(hash_runs(data, starts, ends, [_BYTE.__getitem__])[0], doc, starts, ends, raw, np.searchsorted(doc, np.arange(len(texts) + 1)))
+
+
+_LOW = 0x2100
+_SEEDS = (_GOLD, np.uint64(0xD6E8FEB86659FD93))
+_LOW_CODES = [mix(np.arange(1, _LOW + 1, dtype=np.uint64) * seed) for seed in _SEEDS]
+
+
+def _code_value(which: int) -> Callable[[np.ndarray], np.ndarray]:
+    """A random number for each code point: from a table for the low ones."""
+
+    def value(codes: np.ndarray) -> np.ndarray:
+        out = _LOW_CODES[which][np.minimum(codes, _LOW - 1)]
+        high = np.flatnonzero(codes >= _LOW)
+        if len(high):
+            out[high] = mix((codes[high].astype(np.uint64) + np.uint64(1)) * _SEEDS[which])
+        return out
+
+    return value
+
+
+_CODE_VALUES = [_code_value(0), _code_value(1)]
+
+
+def hash_codes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of 64 bits of each run of code points (uint32); see ``hash_runs``."""
+    return hash_runs(codes, starts, ends, _CODE_VALUES)
 
 
 def _polynomials(words: np.ndarray, k: int) -> np.ndarray:
@@ -139,6 +173,24 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def word_count(text: Column) -> Column:
+    """Words of a string (long; null: 0), without an array of them: every word, with the white space around it, is made one character."""
+    one = F.regexp_replace(text, r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", "x")
+    return F.when(F.rlike(text, F.lit(WORD_PATTERN)), F.length(one)).otherwise(0).cast("long")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that ``df`` doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+        taken.add(n.lower())
+    return out
+
+
 #: A character from U+0250 on. Below it, letters, numbers and white space are the following.
 BEYOND = re.compile("[^\0-\u024f]")
 _CLASSES = {r"\p{L}": "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"\p{N}": "0-9\xb2\xb3\xb9\xbc-\xbe", r"\s": "\t-\r \x85\xa0"}
@@ -163,6 +215,63 @@ def latin_pattern(pattern: str) -> re.Pattern:
     return re.compile(out)
 
 
+class Known:
+    """Number lists by pairs of 64-bit hashes, for the pairs met so far; ``limit`` pairs at most, all are given up when there are more."""
+
+    def __init__(self, dtype, limit: int):
+        self.dtype, self.limit = dtype, limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.checks, self.at = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.lists = Lists(self.dtype)
+
+    def numbers(self, keys: np.ndarray, checks: np.ndarray, make) -> np.ndarray:
+        """The number of the list of each pair, good until the next call. ``make(places)`` gives the lists, end to end, and their lengths for
+        the places at which new pairs stand first."""
+        if len(self.keys) > self.limit:
+            self.clear()
+        coded = pa.array(keys).dictionary_encode()
+        own, of = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+        first = np.empty(len(own), np.int64)
+        first[of[::-1]] = np.arange(len(of))[::-1]
+        own_checks = checks[first]
+        place = np.minimum(np.searchsorted(self.keys, own), max(0, len(self.keys) - 1))
+        known = self.keys[place] == own if len(self.keys) else np.zeros(len(own), bool)
+        if (own_checks[of] != checks).any() or (known & (self.checks[place] != own_checks if len(self.keys) else False)).any():
+            raise ValueError("two strings have one hash")  # of 64 bits; the other 64 tell them apart
+        numbers = np.empty(len(own), np.int64)
+        numbers[known] = self.at[place[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            numbers[new] = self.lists.n + np.arange(len(new))
+            self.lists.append(*make(first[new]))
+            order = new[np.argsort(own[new])]
+            where = np.searchsorted(self.keys, own[order])
+            self.keys, self.checks, self.at = (np.insert(a, where, b[order]) for a, b in ((self.keys, own), (self.checks, own_checks), (self.at, numbers)))
+        return numbers[of]
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function, that gives the memory of its task back to the system in the end: workers wait for further tasks beside others."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 class Numbered(dict):
     """Numbers of strings; those not seen before get the next numbers and are listed in ``new``."""
 
