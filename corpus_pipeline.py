@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm import bpe, mixing, ngrams, quality, substrings
-from helixframe.llm.text import table
+from helixframe.llm.text import fresh, table
 from helixframe.scratch import materialize, ship
 
 #: Near-duplicates: words of a shingle, and percent of the union that is shared.
@@ -43,10 +43,10 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids, n_tokens, and whether the ids decode to exactly the text."""
     ship(spark)
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = bpe.encode(docs, vocabulary, public_tokenizers.PATTERN)
-    out = bpe.decode(ids, vocabulary, public_tokenizers.PATTERN)
-    exact = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return out.withColumns({"n_tokens": F.size("ids").cast("long"), "exact": exact}).drop("decoded")
+    (decoded,) = fresh(docs.drop("ids", "n_tokens", "exact"), "decoded")
+    out = bpe.encode(docs, vocabulary, public_tokenizers.PATTERN, decoded=decoded)
+    exact = F.col(decoded) == F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return out.withColumns({"n_tokens": F.size("ids").cast("long"), "exact": exact}).drop(decoded)
 
 
 STAGES = [("quality classifier", good), ("n-gram Jaccard join", unlike), ("substring dedup", unrepeated), ("mixing to target weights", weighted), ("byte-level BPE", encoded)]

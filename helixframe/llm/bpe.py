@@ -1,7 +1,7 @@
 """Byte-level BPE: encoding by length-bucketed padded matrices in numpy, and exact decoding.
 
-Texts are split into the matches of the token pattern, and each distinct match is encoded once for each worker while it
-is kept. New matches are merged together: those of similar length stand in the rows of one padded matrix, each
+Texts are split into the matches of the token pattern, and each distinct match is encoded once for each task while it
+is kept; matches are told apart by hashes. New matches are merged together: those of similar length stand in the rows of one padded matrix, each
 round merges in every row the leftmost pair of least rank, ranks come from a hash table of pairs, and rows without
 a pair leave the matrix."""
 
@@ -9,15 +9,17 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.text import BEYOND, Kept, latin_pattern, mix, slices
+from helixframe.llm.text import BEYOND, Known, Lists, hash_codes, latin_pattern, mix, slices, tidy
 
 NONE = np.int32(2**31 - 1)
 
@@ -61,21 +63,45 @@ class PairTable:
         return out
 
 
-class Codec:
-    """``vocabulary``: path of a file of lines "base64(token) rank" that holds every single byte; ``pattern``: the token pattern.
-
-    About ``kept`` distinct matches stay encoded; ``cells`` bounds a padded matrix."""
+class Vocabulary:
+    """What the file of a vocabulary (lines "base64(token) rank" that hold every single byte) says: ranks of pairs, ids of bytes, bytes of ids."""
 
-    def __init__(self, vocabulary: str, pattern: str, kept: int = 120_000, cells: int = 1 << 18):
-        with open(vocabulary, "rb") as f:
+    def __init__(self, path: str):
+        with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.pairs = PairTable(ranks)
-        self.pattern, self.latin, self.cells = regex.compile(pattern), latin_pattern(pattern), cells
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
             self.tokens[r] = t
-        self.known = Kept(np.int32, kept, lambda new: self.merge([m.encode() for m in new]))
+        self.bytes = Lists(np.uint8)
+        self.bytes.append(np.frombuffer(b"".join(self.tokens), np.uint8), np.fromiter(map(len, self.tokens), np.int64, len(self.tokens)))
+
+
+_VOCABULARIES: dict[str, Vocabulary] = {}
+
+
+def vocabulary_of(path: str) -> Vocabulary:
+    """One for each worker process; nothing that has been encoded is kept with it."""
+    if path not in _VOCABULARIES:
+        _VOCABULARIES[path] = Vocabulary(path)
+    return _VOCABULARIES[path]
+
+
+class Codec:
+    """``vocabulary``: the path of its file; ``pattern``: the token pattern, in the syntax of the regex library.
+
+    About ``kept`` distinct matches stay encoded, in some 40 bytes each; ``cells`` bounds a padded matrix."""
+
+    def __init__(self, vocabulary: str, pattern: str, kept: int = 1_000_000, cells: int = 1 << 18):
+        own = vocabulary_of(vocabulary)
+        self.pairs, self.byte_ids, self.tokens, self.bytes, self.cells = own.pairs, own.byte_ids, own.tokens, own.bytes, cells
+        self.pattern = regex.compile(pattern)
+        try:
+            self.latin = latin_pattern(pattern)
+        except ValueError:  # the regex library alone then
+            self.latin = self.pattern
+        self.known = Known(np.int32, kept)
 
     # -- merging ---------------------------------------------------------------------------------------------
 
@@ -200,49 +226,77 @@ class Codec:
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and the number of ids of each text."""
-        return self.known.gather([(self.pattern if BEYOND.search(t) else self.latin).findall(t) for t in texts])
+        found = [(self.pattern if BEYOND.search(t) else self.latin).findall(t) for t in texts]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        lengths = np.fromiter(map(len, chain.from_iterable(found)), np.int64, int(counts.sum()))
+        joined = "".join(chain.from_iterable(found))
+        if not joined:
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        ends = np.cumsum(lengths)
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        if (empty := lengths == 0).any():  # a pattern may match nothing
+            bounds = bounds - np.concatenate([[0], np.cumsum(empty)])[bounds]
+            lengths, ends = lengths[~empty], ends[~empty]
+        keys, checks = hash_codes(np.frombuffer(joined.encode("utf-32-le"), np.uint32), ends - lengths, ends)
+
+        def make(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return self.merge([joined[b - n : b].encode() for b, n in zip(ends[places].tolist(), lengths[places].tolist(), strict=True)])
+
+        flat, sizes = self.known.lists.gather(at) if len(at := self.known.numbers(keys, checks, make)) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        return flat, np.diff(np.concatenate([[0], np.cumsum(sizes)])[bounds])
 
     def encode(self, text: str) -> list[int]:
         return self.encode_batch([text])[0].tolist()
 
+    def decode_batch(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of several lists of ids, end to end, and how many bytes each list has; ValueError for an id that the vocabulary doesn't have."""
+        bad = (ids < 0) | (ids >= len(self.tokens))
+        bad[~bad] = self.bytes.lengths[ids[~bad]] == 0
+        if bad.any():
+            raise ValueError(f"id {ids[bad][0]} is not in the vocabulary of {len(self.tokens)}")
+        flat, sizes = self.bytes.gather(ids)
+        return flat, np.diff(np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])])
+
     def decode(self, ids) -> bytes:
-        """Bytes of ids; ValueError for an id that the vocabulary doesn't have."""
-        try:
-            return b"".join([self.tokens[i] for i in ids if i >= 0 or self._unknown(i)])
-        except IndexError:
-            raise ValueError(f"an id is not in the vocabulary of {len(self.tokens)}") from None
+        own = np.asarray(ids, np.int64)
+        return self.decode_batch(own, np.array([len(own)]))[0].tobytes()
+
 
-    @staticmethod
-    def _unknown(i: int) -> bool:
-        raise ValueError(f"id {i} is not in the vocabulary")
+def codec(vocabulary: str, pattern: str) -> Codec:
+    """A codec for a task; the vocabulary is read once for each worker process."""
+    return Codec(vocabulary, pattern)
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
+def _offsets(counts: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
 
 
-def codec(vocabulary: str, pattern: str) -> Codec:
-    """One codec for each worker process and vocabulary."""
-    if (vocabulary, pattern) not in _CODECS:
-        _CODECS[vocabulary, pattern] = Codec(vocabulary, pattern)
-    return _CODECS[vocabulary, pattern]
+def _binary(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(_offsets(counts)), pa.py_buffer(np.ascontiguousarray(flat))])
 
 
-def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
-    """Adds the column ``ids`` (array<int>) with the ids of the whole text: a column of that name is replaced. ``keep`` lists the
-    columns that stay (default: all). A null text is encoded as an empty one: no ids. Every row is kept, repeated rows too.
+def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids", keep: list[str] | None = None, decoded: str | None = None) -> DataFrame:
+    """Adds the column ``ids`` (array<int>) with the ids of the whole text, and, where ``decoded`` names a column, in it the bytes that these ids are
+    decoded to (binary): columns of these names are replaced. ``keep`` lists the columns that stay (default: all). A null text
+    is encoded as an empty one: no ids. Every row is kept, repeated rows too; an empty table gives an empty one.
 
-    Needs no shuffle; memory is bounded by an Arrow batch (64 MB) and the longest text."""
-    kept = [c for c in (keep if keep is not None else df.columns) if c != ids]
+    Needs no shuffle; memory is bounded by an Arrow batch (64 MB), the matches that are kept (40 MB) and the longest text."""
+    new = [ids, *([decoded] if decoded else [])]
+    kept = [c for c in (keep if keep is not None else df.columns) if c not in new]
     passed = kept if text in kept else [*kept, text]  # the text goes along once
-    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
+    fields = [T.StructField(ids, T.ArrayType(T.IntegerType(), False)), *([T.StructField(decoded, T.BinaryType())] if decoded else [])]
+    schema = T.StructType([*(df.schema[c] for c in kept), *fields])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary, pattern)
         for batch in batches:
             for part, texts in slices(batch, text, 1 << 20):
                 flat, counts = own.encode_batch([(t or b"").decode() for t in texts])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], lists], names=[*kept, ids])
+                columns = [pa.ListArray.from_arrays(pa.array(_offsets(counts)), pa.array(flat))]
+                if decoded:
+                    columns.append(_binary(*own.decode_batch(flat, counts)))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *columns], names=[*kept, *new])
 
     return df.select(*[f"`{c}`" for c in passed]).mapInArrow(run, schema)
 
@@ -253,15 +307,18 @@ def decode(df: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", out:
     others = [c for c in df.columns if c != out]
     schema = T.StructType([*(df.schema[c] for c in others), T.StructField(out, T.BinaryType())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary, pattern)
         for batch in batches:
-            lists = batch.column(others.index(ids))
             step = 512
             for start in range(0, batch.num_rows, step):
                 part = batch.slice(start, step)
-                values = [None if not v.is_valid else own.decode(v.values.to_pylist()) for v in lists.slice(start, step)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values, pa.binary())], names=[*others, out])
+                lists = part.column(others.index(ids))
+                counts = np.array(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
+                flat, sizes = own.decode_batch(np.array(lists.flatten(), np.int64), counts)
+                values = pc.if_else(lists.is_valid(), _binary(flat, sizes), None)
+                yield pa.RecordBatch.from_arrays([*part.columns, values], names=[*others, out])
 
     return df.select(*[f"`{c}`" for c in others]).mapInArrow(run, schema)
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.graph import components
 from helixframe.llm.substrings import Bloom, bloom
-from helixframe.llm.text import grams, hash_words, mix, slices
+from helixframe.llm.text import fresh, grams, hash_words, mix, slices, tidy
 from helixframe.scratch import materialize
 
 SHINGLE, PERCENT = 4, 85
@@ -131,6 +131,7 @@ def _sets(rows: DataFrame, shingle: int) -> DataFrame:
     """A row for each document (doc_id, h, n, node and its bitmap), and rows (token, count) for tokens that are common within a block."""
     names = ["doc_id", "h", "n", "node", "bits", "token", "count"]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         seen: set[int] = set()
@@ -168,6 +169,7 @@ def _signed(rows: DataFrame, frequent: np.ndarray, shingle: int, percent: int) -
     order = np.argsort(frequent)
     known = rows.sparkSession.sparkContext.broadcast((frequent[order], order))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, rank = known.value
         seen: set[int] = set()
@@ -284,7 +286,7 @@ def _labelled(df: DataFrame, shingle: int, percent: int) -> DataFrame:
         return rows.join(bits.select(F.col("node").alias(node), F.col("bits").alias(f"{to}bits")).hint("merge"), node)
 
     # round 1: each set with the most central of those that it meets most
-    hub = meet.groupBy("sig").agg(F.max(F.struct("c", "node", "n", "hv")).alias("hub"))
+    hub = materialize(meet.groupBy("sig").agg(F.max(F.struct("c", "node", "n", "hv")).alias("hub")), "ngram-hubs")
     pairs = meet.join(hub.hint("merge"), "sig").where("node <> hub.node").select(F.col("node").alias("a"), F.col("n").alias("xn"), F.col("hv").alias("xhv"), F.col("hub.node").alias("b"), F.col("hub.n").alias("yn"), F.col("hub.hv").alias("yhv"))
     pairs = pairs.where(_possible("x", "y", percent)).groupBy("a", "b").agg(F.count("*").alias("times"), F.first("xn").alias("xn"), F.first("yn").alias("yn"))
     pairs = bitmapped(bitmapped(pairs, "a", "x"), "b", "y").where(_near_bits(percent))
@@ -292,9 +294,10 @@ def _labelled(df: DataFrame, shingle: int, percent: int) -> DataFrame:
     links = materialize(_verified(tested, docs, sets, shingle, percent), "ngram-links")
     roots = materialize(components(links), "ngram-roots")
     # round 2: all that meet and don't hang together yet
-    labelled = meet.join(roots.hint("merge"), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+    labelled = materialize(meet.join(roots.hint("merge"), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"), "ngram-labelled")
     apart = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct("c", "node", "label")).alias("hub")).where("lo < hi").select("sig", F.col("hub.label").alias("main"))
-    open_ = labelled.join(apart.hint("merge"), "sig")
+    apart = materialize(apart, "ngram-apart")
+    open_ = materialize(labelled.join(apart.hint("merge"), "sig"), "ngram-open")
     columns = ["node", "n", "hv", "label", "main"]
     x = open_.where("label <> main").select("sig", *[F.col(c).alias(f"x{c}") for c in columns])
     y = open_.select("sig", *[F.col(c).alias(f"y{c}") for c in columns])
@@ -306,9 +309,10 @@ def _labelled(df: DataFrame, shingle: int, percent: int) -> DataFrame:
     done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = materialize(more.join(done.hint("merge"), ["a", "b"], "left_anti"), "ngram-pairs")
     links = links.unionByName(_verified(more, docs, sets, shingle, percent))
-    roots = components(links)
+    roots = materialize(components(links), "ngram-roots")
     named = sets.join(roots.hint("merge"), "node", "left").select("doc_id", "h", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("label"))
-    least = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
+    # sums are written before their joins here and above: both sides are plain shuffles then, in which adaptive execution splits hot keys
+    least = materialize(named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least")), "ngram-least")
     return named.join(least.hint("merge"), "label", "left").select("doc_id", "h", "n_shingles", "label", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
@@ -316,9 +320,10 @@ def one_of_each(df: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -
     """The rows of ``df`` of which each component of similar documents keeps one, that with the smallest doc_id (of rows that share it, the one
     with the least hash of its text). Rows with an empty set and rows with a null doc_id stay."""
     found = _labelled(df.select("doc_id", "text"), shingle, percent).where("n_shingles > 0 and doc_id is not null")
-    first = found.groupBy("label").agg(F.min(F.struct("doc_id", "h")).alias("m")).select(F.col("m.doc_id").alias("__d"), F.col("m.h").alias("__h"))
+    d, th, free = fresh(df, "d", "h", "free")
+    first = materialize(found.groupBy("label").agg(F.min(F.struct("doc_id", "h")).alias("m")).select(F.col("m.doc_id").alias(d), F.col("m.h").alias(th)), "ngram-kept")
     h = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     empty = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    rows = df.withColumns({"__d": F.col("doc_id").cast("long"), "__h": h, "__free": empty | F.col("doc_id").isNull()})
-    kept = rows.where("not __free").join(first.hint("merge"), ["__d", "__h"]).dropDuplicates(["__d", "__h"])
-    return rows.where("__free").select(*[f"`{c}`" for c in df.columns]).unionByName(kept.select(*[f"`{c}`" for c in df.columns]))
+    rows = df.withColumns({d: F.col("doc_id").cast("long"), th: h, free: empty | F.col("doc_id").isNull()})
+    kept = rows.where(~F.col(free)).join(first.hint("merge"), [d, th]).dropDuplicates([d, th])
+    return rows.where(F.col(free)).select(*[f"`{c}`" for c in df.columns]).unionByName(kept.select(*[f"`{c}`" for c in df.columns]))

@@ -7,7 +7,6 @@ import gc
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -311,43 +310,3 @@ class Lists:
         where = np.repeat(self.ends[at] - np.cumsum(lengths), lengths)
         where += np.arange(len(where))
         return self.flat[where], lengths
-
-
-class Kept:
-    """Number lists of strings, such as their token ids, for the strings met most. ``make`` gives the lists of new strings, end to end,
-    and their lengths. When there are more than ``limit`` strings, the half of that number that were used most stay."""
-
-    def __init__(self, dtype, limit: int, make):
-        self.dtype, self.limit, self.make = dtype, limit, make
-        self.index, self.lists, self.uses = Numbered(), Lists(dtype), np.zeros(0, np.int64)
-
-    def __len__(self) -> int:
-        return len(self.index)
-
-    def numbers(self, strings, n: int) -> np.ndarray:
-        """The numbers of ``n`` strings, good until the next call."""
-        if len(self.index) > self.limit:
-            self._trim()
-        at = np.fromiter(map(self.index.__getitem__, strings), np.int64, n)
-        if new := self.index.new:
-            self.lists.append(*self.make(new))
-            self.index.new = []
-            self.uses = np.concatenate([self.uses, np.zeros(len(self.index) - len(self.uses), np.int64)])
-        self.uses += np.bincount(at, minlength=len(self.uses))
-        return at
-
-    def _trim(self) -> None:
-        stay = np.sort(np.argsort(-self.uses, kind="stable")[: self.limit // 2])
-        names = list(self.index)
-        lists = Lists(self.dtype)
-        lists.append(*self.lists.gather(stay))
-        index = Numbered()
-        index.update((names[k], i) for i, k in enumerate(stay.tolist()))
-        self.index, self.lists, self.uses = index, lists, self.uses[stay] // 2
-
-    def gather(self, strings_of: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """For several lists of strings: all their number lists end to end, and how many numbers each list of strings has."""
-        counts = np.fromiter(map(len, strings_of), np.int64, len(strings_of))
-        at = self.numbers(chain.from_iterable(strings_of), int(counts.sum()))
-        flat, lengths = self.lists.gather(at)
-        return flat, np.diff(np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])])

@@ -77,3 +77,23 @@ def test_query(spark, sf_dir, both):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
+
+
+@pytest.mark.parametrize("pattern", [r"[^\r\n\p{L}\p{N}]?\p{L}+|\d+|\s+|.", r"\w+|\W+", r"\p{L}*"])
+def test_other_patterns(pattern, both):
+    lib = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks={t: i for i, t in enumerate(both[0].tokens) if t}, special_tokens={})
+    own = bpe.codec(VOCABULARY, pattern)
+    for text in ("Some words, 1234 and\n more's", "naïve café — 日本", "", "  "):
+        if pattern == r"\p{L}*":  # matches nothing in places, which tiktoken doesn't take
+            assert own.decode(own.encode(text)).decode() == "".join(c for c in text if c.isalpha())
+        else:
+            assert own.encode(text) == lib.encode_ordinary(text)
+
+
+def test_one_pass_gives_the_same(spark):
+    df = spark.createDataFrame([(1, "a b é 日本 \n", "x"), (2, None, "y"), (3, "", "z")], "doc_id long, text string, decoded string")
+    got = bpe.encode(df, VOCABULARY, P.PATTERN, decoded="decoded")
+    assert got.columns == ["doc_id", "text", "ids", "decoded"]
+    assert {r.doc_id: bytes(r.decoded).decode() for r in got.collect()} == {1: "a b é 日本 \n", 2: "", 3: ""}
+    ids = spark.createDataFrame([([1, 2],), (None,), ([],)], "ids array<int>")
+    assert [r.decoded and bytes(r.decoded) for r in bpe.decode(ids.coalesce(1), VOCABULARY, P.PATTERN).collect()].count(None) == 1

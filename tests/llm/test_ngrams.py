@@ -13,8 +13,8 @@ def _set(text, k=4):
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
 
 
-def _components(rows, k=4, percent=85):
-    """(doc_id, set size, smallest doc_id reachable) for rows (doc_id, text), by comparing all pairs."""
+def _groups(rows, k, percent):
+    """The sets of rows (doc_id, text), and a number of each one's component, by comparing all pairs."""
     sets = [_set(t, k) for _, t in rows]
     of = list(range(len(rows)))
     find = lambda i: i if of[i] == i else find(of[i])
@@ -24,9 +24,15 @@ def _components(rows, k=4, percent=85):
                 n = len(sets[i] & sets[j])
                 if 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n):
                     of[find(i)] = find(j)
+    return sets, [find(i) for i in range(len(rows))]
+
+
+def _components(rows, k=4, percent=85):
+    """(doc_id, set size, smallest doc_id reachable) for rows (doc_id, text)."""
+    sets, group = _groups(rows, k, percent)
     out = []
     for i, (d, _) in enumerate(rows):
-        ids = [rows[j][0] for j in range(len(rows)) if find(j) == find(i) and rows[j][0] is not None]
+        ids = [rows[j][0] for j in range(len(rows)) if group[j] == group[i] and rows[j][0] is not None]
         out.append((d, len(sets[i]), min(ids) if ids else None))
     return out
 
@@ -75,9 +81,9 @@ def test_bitmaps_never_differ_more_than_sets(seed, n, m):
     assert ngrams.differing(ngrams.parities(x), ngrams.parities(y)) <= len(np.setxor1d(x, y))
 
 
-@pytest.mark.parametrize("few", [0, 100_000])
-def test_components(spark, monkeypatch, few):
-    monkeypatch.setattr(graph, "FEW", few)
+@pytest.mark.parametrize("held", [60, graph.HELD])
+def test_components(spark, monkeypatch, held):
+    monkeypatch.setattr(graph, "HELD", held)
     rng = random.Random(1)
     edges = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(300)] + [(1000 + i, 1001 + i) for i in range(150)] + [(5000, 5001 + i) for i in range(200)] + [(7, 7)]
     of = {x: x for e in edges for x in e}
@@ -90,7 +96,7 @@ def test_components(spark, monkeypatch, few):
     for a, b in edges:
         a, b = find(a), find(b)
         of[max(a, b)] = min(a, b)
-    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long"), held).collect()}
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: find(x) for x in linked}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
@@ -143,10 +149,11 @@ def test_one_of_each(spark):
     out = ngrams.one_of_each(df, 5, 80)
     assert out.columns == df.columns
     got = out.collect()
-    want = _components(rows, 5, 80)
-    keep = {c for d, n, c in want if n and d is not None}
+    sets, group = _groups(rows, 5, 80)
+    # one row of each component, though two components may share their smallest doc_id
+    keep = [min(rows[i][0] for i in own if rows[i][0] is not None) for g in set(group) if (own := [i for i in range(len(rows)) if group[i] == g]) and sets[g] and any(rows[i][0] is not None for i in own)]
     assert sorted(r.doc_id for r in got if r.doc_id is not None and _set(r.text, 5)) == sorted(keep)
-    assert sum(r.doc_id is None or not _set(r.text, 5) for r in got) == sum(d is None or not n for d, n, _ in want)
+    assert sum(r.doc_id is None or not _set(r.text, 5) for r in got) == sum(d is None or not s for (d, _), s in zip(rows, sets, strict=True))
     assert ngrams.one_of_each(df.limit(0)).count() == 0 and ngrams.join(df.limit(0)).count() == 0
 
 

@@ -39,8 +39,8 @@ def test_edited_and_likeness(spark):
 def test_repeats_and_empty(spark):
     df = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (1, "other words"), (2, "a b c")], "doc_id long, text string")
     got = sorted(simhash.compared(df).collect(), key=lambda r: (r.doc_id, r.n_chars))
-    assert [(r.doc_id, r.n_chars) for r in got] == [(1, 5), (1, 11), (2, 5)]
-    assert got[0].fingerprint == got[2].fingerprint != got[1].fingerprint
+    assert [(r.doc_id, r.n_chars) for r in got] == [(1, 5), (1, 5), (1, 11), (2, 5)]
+    assert got[0] == got[1] and got[0].fingerprint == got[3].fingerprint != got[2].fingerprint
     assert simhash.compared(df.limit(0)).count() == 0
     one = simhash.compared(df.where("doc_id = 2")).collect()[0]
     assert one.near_next == 1.0

@@ -46,17 +46,32 @@ def test_latin_pattern():
     assert p.findall("Ab's é1²  \n!x") == ["Ab", "'s", " é", "  ", "\n", "!", "x"] or "".join(p.findall("Ab's é  \n!x")) == "Ab's é  \n!x"
 
 
-def test_kept_drops_the_least_used():
+def test_known_lists_are_made_once():
     calls = []
 
-    def make(new):
-        calls.append(list(new))
-        return np.array([len(x) for x in new], np.int32), np.ones(len(new), np.int64)
-
-    kept = text.Kept(np.int32, 4, make)
-    for _ in range(3):
-        kept.gather([["a", "bb"]])
-    kept.gather([["ccc"], ["dddd", "eeeee"], []])
-    flat, counts = kept.gather([["bb", "a"], ["ffffff"]])
-    assert flat.tolist() == [2, 1, 6] and counts.tolist() == [2, 1]
-    assert calls[-1] == ["ffffff"] and len(kept) == 3
+    def ask(known, strings):
+        joined = "".join(strings)
+        lengths = np.array([len(x) for x in strings], np.int64)
+        ends = np.cumsum(lengths)
+        keys, checks = text.hash_codes(np.frombuffer(joined.encode("utf-32-le"), np.uint32), ends - lengths, ends)
+
+        def make(places):
+            calls.append([strings[i] for i in places])
+            return np.array([len(strings[i]) for i in places], np.int32), np.ones(len(places), np.int64)
+
+        return known.lists.gather(known.numbers(keys, checks, make))[0].tolist()
+
+    known = text.Known(np.int32, 4)
+    assert ask(known, ["bb", "a", "bb", "日本語\U0001f600"]) == [2, 1, 2, 4] and len(calls[0]) == 3
+    assert ask(known, ["a", "ccc"]) == [1, 3] and calls[1] == ["ccc"]
+    assert ask(known, ["eeeee", "bb"]) == [5, 2] and calls[2] == ["eeeee"]
+    assert ask(known, ["bb"]) == [2] and calls[3] == ["bb"]  # more than four had been kept
+
+
+def test_hashes_tell_strings_apart():
+    rng = np.random.default_rng(2)
+    strings = list({"".join(chr(c) for c in rng.choice([97, 98, 233, 8212, 128512], n)) for n in range(1, 8) for _ in range(400)})
+    lengths = np.array([len(x) for x in strings], np.int64)
+    ends = np.cumsum(lengths)
+    for hashes in text.hash_codes(np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32), ends - lengths, ends):
+        assert len(set(hashes.tolist())) == len(strings)
