@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from itertools import count
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,12 +19,14 @@ _SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, as in
-    tests on one machine, a temporary folder that is also made the checkpoint folder."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset and all of Spark runs in one
+    process, as in tests, a temporary folder that is also made the checkpoint folder. On a cluster an unset one fails."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         base = spark.sparkContext.getCheckpointDir()
     if base is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="helixframe-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         base = f"file://{base}"
@@ -39,8 +45,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     that survives the loss of any executor."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    return _written(df, path)
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def tables(spark: SparkSession, name: str) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A function like ``materialize`` whose tables are deleted at the end of the block; what leaves the block is written
+    before (by ``materialize``), so that it reads none of them."""
+    folder, number = scratch_path(spark, name), count()
+    try:
+        yield lambda df, part: _written(df, f"{folder}/{next(number)}-{part}")
+    finally:
+        remove(spark, folder)
 
 
 def remove(spark: SparkSession, path: str) -> None:
