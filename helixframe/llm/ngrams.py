@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from helixframe.llm.graph import components
 from helixframe.llm.substrings import Bloom, bloom
 from helixframe.llm.text import fresh, grams, hash_words, mix, slices, tidy
-from helixframe.scratch import materialize
+from helixframe.scratch import materialize, tables
 
 SHINGLE, PERCENT = 4, 85
 #: A token is frequent if it's in FREQUENT sets, counted where a block of BLOCK_TOKENS tokens has it in LOCAL sets; at most MOST of them, the commonest.
@@ -233,12 +233,11 @@ def passing(values: DataFrame):
     return passes
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of sets that are similar. One text of each set is brought together; a filter of bounded size keeps most other
-    texts from the shuffle."""
+def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, shingle: int, percent: int, keep) -> DataFrame:
+    """Those of the pairs (a, b) of sets that are similar. One text of each set (``firsts``: node, id, h) is brought together; a filter of bounded
+    size keeps most other texts from the shuffle."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    first = sets.join(wanted.hint("merge"), "node").groupBy("node").agg(F.min(F.struct("id", "h")).alias("d")).select("node", "d.id", "d.h")
-    first = materialize(first, "ngram-texts")
+    first = keep(firsts.join(wanted.hint("merge"), "node"), "texts")
     texts = docs.select("id", "h", "text").where(passing(first.select("h"))("h")).join(first.hint("merge"), ["id", "h"]).dropDuplicates(["node"]).select("node", "text")
     both = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")).hint("merge"), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")).hint("merge"), "b")
 
@@ -270,34 +269,42 @@ def join(df: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataF
 
 def _labelled(df: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The rows of ``join`` with the label of their component, which two components never share (null for empty sets)."""
+    with tables(df.sparkSession, "ngrams") as keep:
+        return materialize(_joined(df, shingle, percent, keep), "ngram-components")
+
+
+def _joined(df: DataFrame, shingle: int, percent: int, keep) -> DataFrame:
     docs = df.select(F.col("doc_id").cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    found = materialize(_sets(docs, shingle), "ngram-sets")
+    found = keep(_sets(docs, shingle), "sets")
     sets = found.where("n is not null").withColumn("id", F.coalesce("doc_id", F.lit(0)))
     # at most MOST tokens come to the driver
     counted = found.where("token is not null").groupBy("token").agg(F.sum("count").alias("n")).where(F.col("n") >= FREQUENT)
     frequent = counted.orderBy(F.desc("n"), "token").limit(MOST).toPandas()
     ranked = frequent["token"].to_numpy(np.int64)[::-1].copy().view(np.uint64)
-    signed = materialize(_signed(docs, ranked, shingle, percent), "ngram-signatures")
-    shared = materialize(signed.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("sig"), "ngram-shared")
-    meet = materialize(signed.where(passing(shared)("sig")).join(shared.hint("merge"), "sig"), "ngram-meetings")
-    bits = materialize(sets.where("node is not null").groupBy("node").agg(F.max("bits").alias("bits")), "ngram-bits")
+    signed = keep(_signed(docs, ranked, shingle, percent), "signatures")
+    shared = keep(signed.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("sig"), "shared")
+    meet = keep(signed.where(passing(shared)("sig")).join(shared.hint("merge"), "sig"), "meetings")
+    # summed up by set once, in front of all joins by set: a set that many documents have is one row in these
+    own = sets.where("node is not null").groupBy("node").agg(F.max("bits").alias("bits"), F.min(F.struct("id", "h")).alias("d"))
+    bits = keep(own.select("node", "bits", "d.id", "d.h"), "bits")
+    firsts = bits.select("node", "id", "h")
 
     def bitmapped(rows: DataFrame, node: str, to: str) -> DataFrame:
         return rows.join(bits.select(F.col("node").alias(node), F.col("bits").alias(f"{to}bits")).hint("merge"), node)
 
     # round 1: each set with the most central of those that it meets most
-    hub = materialize(meet.groupBy("sig").agg(F.max(F.struct("c", "node", "n", "hv")).alias("hub")), "ngram-hubs")
+    hub = keep(meet.groupBy("sig").agg(F.max(F.struct("c", "node", "n", "hv")).alias("hub")), "hubs")
     pairs = meet.join(hub.hint("merge"), "sig").where("node <> hub.node").select(F.col("node").alias("a"), F.col("n").alias("xn"), F.col("hv").alias("xhv"), F.col("hub.node").alias("b"), F.col("hub.n").alias("yn"), F.col("hub.hv").alias("yhv"))
     pairs = pairs.where(_possible("x", "y", percent)).groupBy("a", "b").agg(F.count("*").alias("times"), F.first("xn").alias("xn"), F.first("yn").alias("yn"))
     pairs = bitmapped(bitmapped(pairs, "a", "x"), "b", "y").where(_near_bits(percent))
-    tested = materialize(pairs.groupBy("a").agg(F.max(F.struct("times", "b")).alias("best")).select("a", F.col("best.b").alias("b")), "ngram-pairs")
-    links = materialize(_verified(tested, docs, sets, shingle, percent), "ngram-links")
-    roots = materialize(components(links), "ngram-roots")
+    tested = keep(pairs.groupBy("a").agg(F.max(F.struct("times", "b")).alias("best")).select("a", F.col("best.b").alias("b")), "pairs")
+    links = keep(_verified(tested, docs, firsts, shingle, percent, keep), "links")
+    roots = components(links, keep=keep)
     # round 2: all that meet and don't hang together yet
-    labelled = materialize(meet.join(roots.hint("merge"), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"), "ngram-labelled")
+    labelled = keep(meet.join(roots.hint("merge"), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"), "labelled")
     apart = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct("c", "node", "label")).alias("hub")).where("lo < hi").select("sig", F.col("hub.label").alias("main"))
-    apart = materialize(apart, "ngram-apart")
-    open_ = materialize(labelled.join(apart.hint("merge"), "sig"), "ngram-open")
+    apart = keep(apart, "apart")
+    open_ = keep(labelled.join(apart.hint("merge"), "sig"), "open")
     columns = ["node", "n", "hv", "label", "main"]
     x = open_.where("label <> main").select("sig", *[F.col(c).alias(f"x{c}") for c in columns])
     y = open_.select("sig", *[F.col(c).alias(f"y{c}") for c in columns])
@@ -307,12 +314,12 @@ def _labelled(df: DataFrame, shingle: int, percent: int) -> DataFrame:
     more = more.select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b"), F.when(swap, F.col("yn")).otherwise(F.col("xn")).alias("xn"), F.when(swap, F.col("xn")).otherwise(F.col("yn")).alias("yn")).distinct()
     more = bitmapped(bitmapped(more, "a", "x"), "b", "y").where(_near_bits(percent)).select("a", "b")
     done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = materialize(more.join(done.hint("merge"), ["a", "b"], "left_anti"), "ngram-pairs")
-    links = links.unionByName(_verified(more, docs, sets, shingle, percent))
-    roots = materialize(components(links), "ngram-roots")
+    more = keep(more.join(done.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+    links = links.unionByName(_verified(more, docs, firsts, shingle, percent, keep))
+    roots = components(links, keep=keep)
     named = sets.join(roots.hint("merge"), "node", "left").select("doc_id", "h", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("label"))
     # sums are written before their joins here and above: both sides are plain shuffles then, in which adaptive execution splits hot keys
-    least = materialize(named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least")), "ngram-least")
+    least = keep(named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least")), "least")
     return named.join(least.hint("merge"), "label", "left").select("doc_id", "h", "n_shingles", "label", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
