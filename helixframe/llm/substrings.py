@@ -5,9 +5,9 @@ Which passages may repeat is found by hashes, and suffix automata decide:
 1. Each window of WINDOW words has an anchor: the least hash of its runs of ANCHOR words. Anchors that stand in several
    documents go into a Bloom filter of bounded size; only windows whose anchor is in it go on, as segments of text.
 2. The windows of these segments are counted by their own hashes, and each is told the first document that has it.
-3. A document's passages that others repeat make it a reference shard: they are built into one suffix automaton. The shard
-   is sent to wherever runs of windows name it as their first document; these stream through the automaton, and
-   their maximal matches of WINDOW words or more are the spans that are removed.
+3. A document's passages that others repeat make it a reference shard: they are built into one suffix automaton, in front of
+   the runs of windows that name it as their first document. These stream through the automaton, and their maximal matches of WINDOW words
+   or more are the spans that are removed. A shard that many runs name is sent to several tasks, each with its part of the runs.
 
 A hash may at most send a run to a document that doesn't have it, which the automaton sees."""
 
@@ -23,10 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.text import grams, hash_words, mix, slices
-from helixframe.scratch import materialize
+from helixframe.llm.text import fresh, grams, hash_words, mix, slices
+from helixframe.scratch import materialize, tables
 
 WINDOW, ANCHOR = 13, 8
+#: Runs that stream through one copy of an automaton, about.
+RUNS = 1024
 #: Bits of a block of the Bloom filter; most blocks (64 MB in all); bits for each anchor below that; bits set for each.
 BLOCK_BITS, MOST_BLOCKS, BITS_EACH, PROBES = 1 << 19, 1024, 16, 4
 
@@ -247,19 +249,35 @@ def _runs(told: DataFrame) -> DataFrame:
     return told.select("doc_id", "h", "start", "text", "found").mapInArrow(run, "doc_id long, h long, ref long, own boolean, start int, text string")
 
 
-def _matched(pairs: DataFrame) -> DataFrame:
-    """doc_id, h, start, end of the maximal matches of each run with its reference shard. The shard's automaton is built once where
-    rows with one ``ref`` follow each other, as they do after the join."""
+def _streams(runs: DataFrame, keep) -> DataFrame:
+    """ref, part, own, doc_id, h, start, text: the passages of each shard (own), then the runs that name it, in one stream for each of its parts: as
+    many as it takes for about RUNS runs each."""
+    asking = runs.where("not own")
+    asked = keep(asking.groupBy("ref").agg(F.ceil(F.count("*") / RUNS).cast("int").alias("parts")), "asked")
+    of = F.pmod(F.xxhash64("doc_id", "h", "start"), F.col("parts")).cast("int")
+    asking = asking.join(asked.hint("merge"), "ref").select("ref", of.alias("part"), "own", "doc_id", "h", "start", "text")
+    shards = runs.where("own").join(asked.hint("merge"), "ref").select("ref", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "own", "doc_id", "h", "start", "text")
+    return shards.unionByName(asking).repartition("ref", "part").sortWithinPartitions("ref", "part", F.desc("own"))
+
+
+def _matched(streams: DataFrame) -> DataFrame:
+    """doc_id, h, start, end of the maximal matches of each run with its reference shard. In a stream the passages come first: the
+    automaton is built of them when the first run comes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ref, automaton = None, None
+        at, automaton = None, None
+        passages: dict[bytes, None] = {}
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [])
             c = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            refs = c["ref"].to_pylist()
-            for i, r in enumerate(refs):
-                if automaton is None or r != ref:
-                    ref, automaton = r, SuffixAutomaton([p.encode().split() for p in c["passages"][i].as_py()])
+            for i, here in enumerate(zip(c["ref"].to_pylist(), c["part"].to_pylist(), strict=True)):
+                if here != at:
+                    at, automaton, passages = here, None, {}
+                if c["own"][i].as_py():
+                    passages[c["text"][i].as_py().encode()] = None
+                    continue
+                if automaton is None:
+                    automaton, passages = SuffixAutomaton([p.split() for p in passages]), {}
                 for a, b in automaton.spans(c["text"][i].as_py().encode().split(), WINDOW):
                     start = c["start"][i].as_py()
                     for column, value in zip(out, (c["doc_id"][i].as_py(), c["h"][i].as_py(), start + a, start + b), strict=True):
@@ -267,7 +285,7 @@ def _matched(pairs: DataFrame) -> DataFrame:
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "h", "start", "end"])
 
-    return pairs.select("ref", "passages", "doc_id", "h", "start", "text").mapInArrow(run, "doc_id long, h long, start int, end int")
+    return streams.mapInArrow(run, "doc_id long, h long, start int, end int")
 
 
 def with_spans(df: DataFrame, out: str = "spans") -> DataFrame:
@@ -278,23 +296,29 @@ def with_spans(df: DataFrame, out: str = "spans") -> DataFrame:
     Null texts have no words. Rows with a null doc_id aren't compared with others. Rows that share a doc_id don't count as
     earlier than each other. Every row stays; an empty table gives an empty one.
 
-    Hot windows are summed up before the shuffle; in the joins, adaptive execution splits keys with many rows. A task
-    holds one document's passages at a time."""
+    Hot windows are summed up before the shuffle; in the joins, adaptive execution splits keys with many rows; a document that many others
+    repeat is dealt to several tasks. A task holds one document's passages at a time."""
     kept = [c for c in df.columns if c != out]
-    h = F.xxhash64(F.col("text"))
+    h = F.xxhash64(F.col("text").cast("string"))
     rows = df.select(F.col("doc_id").cast("long"), h.alias("h"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    shared = materialize(_anchors(rows).groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
-    segments = materialize(_segments(rows, bloom(shared)).withColumn("seg", F.monotonically_increasing_id()), "segments")
+    with tables(df.sparkSession, "substrings") as keep:
+        found = materialize(_spans(rows, keep), "spans")
+    (key,) = fresh(df, "k")
+    own = found.select(F.struct("doc_id", "h").alias(key), F.col("spans").alias(out))
+    marked = df.select(*[F.col(f"`{c}`") for c in kept], F.struct(F.col("doc_id").cast("long").alias("doc_id"), h.alias("h")).alias(key))
+    return marked.join(own.hint("merge"), key, "left").select(*[F.col(f"`{c}`") for c in kept], out)
+
+
+def _spans(rows: DataFrame, keep) -> DataFrame:
+    """doc_id, h, spans for the rows (doc_id, h, text) that have any."""
+    shared = keep(_anchors(rows).groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
+    segments = keep(_segments(rows, bloom(shared)).withColumn("seg", F.monotonically_increasing_id()), "segments")
     windows = _windows(segments)
     first = windows.groupBy("w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    first = materialize(first, "windows")  # read back, so that the join's two sides are plain shuffles, which hot windows can be split in
+    first = keep(first, "windows")  # read back, so that the join's two sides are plain shuffles, which hot windows can be split in
     found = windows.drop("doc_id").join(first.hint("merge"), "w").groupBy("seg").agg(F.collect_list(F.struct("off", "first")).alias("found"))
-    runs = materialize(_runs(segments.join(found.hint("merge"), "seg")), "runs")
-    shards = runs.where("own").groupBy("ref").agg(F.collect_set("text").alias("passages"))
-    spans = _matched(runs.where("not own").join(shards.hint("merge"), "ref"))
-    spans = spans.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    own = spans.select(F.struct("doc_id", "h").alias("__k"), F.col("spans").alias(out))
-    return df.select(*[F.col(f"`{c}`") for c in kept], F.struct(F.col("doc_id").cast("long").alias("doc_id"), h.alias("h")).alias("__k")).join(own.hint("merge"), "__k", "left").select(*[F.col(f"`{c}`") for c in kept], out)
+    runs = keep(_runs(segments.join(found.hint("merge"), "seg")), "runs")
+    return _matched(_streams(runs, keep)).groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
 def _kept(text: bytes, spans: list[dict]) -> tuple[int, list[tuple[int, int]]]:
@@ -358,4 +382,4 @@ def dedup(df: DataFrame) -> DataFrame:
                         columns.append(part.column(i))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return with_spans(df, "__spans").mapInArrow(run, df.schema)
+    return with_spans(df, *fresh(df, "spans")).mapInArrow(run, df.schema)
