@@ -86,6 +86,52 @@ def test_tables(spark, tmp_path):
     assert warc.read(spark, f"file://{tmp_path}/none").count() == 0
 
 
+def test_archives_are_bounded(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"u{i}", bytes([i % 251]) * 3000) for i in range(400)], "key long, uri string, payload binary").repartition(2)
+    warc.write(rows, f"file://{tmp_path}/w", archive_bytes=100_000)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"file://{tmp_path}/w").collect()
+    assert len(files) > 8
+    assert all(sum(map(len, warc.records(bytes(f.content)))) <= 100_000 for f in files)
+    assert sorted((r.key, r.payload_bytes) for r in warc.read(spark, f"file://{tmp_path}/w").collect()) == [(i, 3000) for i in range(400)]
+    plan = warc.with_revisits(rows.selectExpr("*", "'x' as digest", "1 as least", "2 as own", "3 as refers_to"))
+    assert plan.columns == ["key", "uri", "payload", "least", "own", "digest", "refers_to"]
+    assert {r.key: r.refers_to for r in plan.collect()} == {i: None if i < 251 else i - 251 for i in range(400)}
+
+
+def _foreign(kind, block, *more):
+    head = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:12345678-1234-1234-1234-123456789abc>", "WARC-Date: 2024-02-29T12:00:00Z", *more, f"Content-Length: {len(block)}", "", ""]
+    return "\r\n".join(head).encode() + block + b"\r\n\r\n"
+
+
+def test_archives_of_others(spark, tmp_path):
+    import base64
+
+    sha1 = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+    http = b"HTTP/1.0 200 OK\r\nSet-Cookie: a\r\nSet-Cookie: b\xe9\r\n\r\nbody"
+    raw = [
+        _foreign("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields"),
+        _foreign("request", b"GET / HTTP/1.1\r\nHost: h\r\n\r\n", "WARC-Target-URI: http://h/", "Content-Type: application/http; msgtype=request"),
+        _foreign("response", http, "WARC-Target-URI: http://h/", "Content-Type: application/http;msgtype=response", f"WARC-Payload-Digest: {sha1(b'body')}", f"WARC-Block-Digest: {sha1(http)}"),
+        _foreign("response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Length: 9\r\n\r\n4\r\nbody\r\n0\r\n\r\n", f"WARC-Payload-Digest: {sha1(b'body')}"),
+        _foreign("metadata", b"k: v", "Content-Type: application/warc-fields"),
+        _foreign("conversion", "é".encode(), "Content-Type: text/plain", "WARC-Refers-To: <urn:uuid:0>"),
+        _foreign("revisit", b"", f"WARC-Profile: {warc.PROFILE}", f"WARC-Payload-Digest: {sha1(b'body')}", "WARC-Refers-To-Target-URI: http://h/"),
+    ]
+    got = [warc.parse(r) for r in raw]
+    assert [g["record_type"] for g in got] == ["warcinfo", "request", "response", "response", "metadata", "conversion", "revisit"]
+    assert [g["payload"] for g in got] == [b"software: x\r\n", b"", b"body", b"4\r\nbody\r\n0\r\n\r\n", b"k: v", "é".encode(), None]
+    assert got[2]["payload_digest"] == _digest(b"body") and {g["key"] for g in got} == {None} and got[6]["payload_digest"] == sha1(b"body")
+    for old, new in ((b"200 OK", b"201 OK"), (b"body", b"bodi"), (b"urn:uuid:", b"urn uuid "), (b"sha1:", b"sha1:A")):
+        with pytest.raises(warc.WarcError):
+            warc.parse(raw[2].replace(old, new, 1))
+    with pytest.raises(warc.WarcError):
+        warc.parse(raw[6].replace(b"WARC-Profile", b"WARC-Profil2"))
+    (tmp_path / "a.warc.zst").write_bytes(b"".join(warc.frames(iter(raw))))
+    rows = warc.read(spark, f"file://{tmp_path}").collect()
+    assert sorted(r.record_type for r in rows) == sorted(g["record_type"] for g in got)
+    assert {r.record_id for r in rows} == {"<urn:uuid:12345678-1234-1234-1234-123456789abc>"}
+
+
 def test_query(spark, sf_dir):
     got = sorted(tuple(r) for r in queries.QUERIES["op2_warc"](spark, sf_dir).collect())
     c = duckdb.connect()
