@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.scratch import materialize
+from helixframe.scratch import tables as scratch_tables
 
 BITS, RADIUS, BLOCKS = 64, 3, 6
 _PAIR = 0x0000000100000001
@@ -89,14 +90,14 @@ def _keyed(df: DataFrame) -> DataFrame:
     return rows.select(F.col("doc_id").isNull().alias("nul"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("a"), F.xxhash64("text").alias("h"), "text")
 
 
-def _chain(keys: DataFrame) -> DataFrame:
+def _chain(keys: DataFrame, keep) -> DataFrame:
     """For rows of KEY, n and copies: the key, n and copies of the next and the previous one in descending order of doc_id (nulls last, then by
     hash), the last meeting the first. Rows are sorted in ranges; only the ends of ranges meet in one task."""
     dealt = keys.repartitionByRange(F.col("nul"), F.col("a").desc(), F.col("h")).withColumn("part", F.spark_partition_id())
-    dealt = materialize(dealt, "simhash-order")
+    dealt = keep(dealt, "order")
     row = F.struct(*KEY, "n", "copies")
     inside = Window.partitionBy("part").orderBy(F.col("nul"), F.col("a").desc(), F.col("h"))
-    linked = materialize(dealt.select("part", row.alias("own"), F.lead(row).over(inside).alias("next"), F.lag(row).over(inside).alias("prev")), "simhash-links")
+    linked = keep(dealt.select("part", row.alias("own"), F.lead(row).over(inside).alias("next"), F.lag(row).over(inside).alias("prev")), "links")
     # one row for each range that has rows: as many as shuffle partitions
     ends = linked.groupBy("part").agg(F.first(F.when(F.col("prev").isNull(), F.col("own")), True).alias("first"), F.first(F.when(F.col("next").isNull(), F.col("own")), True).alias("last"))
     order = Window.partitionBy(F.lit(0)).orderBy("part")
@@ -105,16 +106,16 @@ def _chain(keys: DataFrame) -> DataFrame:
     both = linked.join(F.broadcast(ends.select("part", after.alias("after"), before.alias("before"))), "part")
     both = both.select("own", F.coalesce("next", "after").alias("next"), F.coalesce("prev", "before").alias("prev"))
     flat = [F.col(f"own.{c}").alias(c) for c in (*KEY, "n", "copies")] + [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("next", "prev") for c in (*KEY, "n")]
-    return materialize(both.select(*flat), "simhash-chain")
+    return keep(both.select(*flat), "chain")
 
 
-def edited(df: DataFrame) -> DataFrame:
+def edited(df: DataFrame, keep=materialize) -> DataFrame:
     """KEY, n_chars, copies, next_ KEY, text, edited: the last floor(n/3) code points of each text replaced by the first as many (or all) of the
     next document, in descending order of doc_id; after the last comes the first. Null texts are empty; a null doc_id
     comes last. Rows that repeat a doc_id are ordered by their texts' hashes; rows equal in both are one document here, with the number of its copies.
-    Texts are shuffled once, and the third that is passed on again."""
+    Texts are shuffled once, and the third that is passed on again. ``keep`` writes what the result reads."""
     keyed = _keyed(df)
-    chain = _chain(keyed.groupBy(*KEY, F.length("text").alias("n")).agg(F.count("*").alias("copies")))
+    chain = _chain(keyed.groupBy(*KEY, F.length("text").alias("n")).agg(F.count("*").alias("copies")), keep)
     own = keyed.join(chain.hint("merge"), KEY)
     own = own.withColumn("__r", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.lit(0)))).where("__r <= 1").drop("__r")
     tails = own.select(*[F.col(f"prev_{c}").alias(c) for c in KEY], F.expr("substring(text, 1, cast(floor(prev_n / 3) as int))").alias("tail"))
@@ -127,17 +128,22 @@ def compared(df: DataFrame, every: int = 20) -> DataFrame:
     """The fingerprints of all documents, of their edited texts and of the next documents with their likeness; n_near, for
     documents whose doc_id is divisible by ``every``: how many other documents have a fingerprint within RADIUS. Every row stays, those that repeat
     (doc_id, text) too; an empty table gives an empty one; other columns are left out."""
-    both = edited(df)
+    with scratch_tables(df.sparkSession, "simhash") as keep:
+        return materialize(_compared(df, every, keep), "fingerprints")
+
+
+def _compared(df: DataFrame, every: int, keep) -> DataFrame:
+    both = edited(df, keep)
     fps = fingerprints(both, KEY, ["text", "edited"])
     rows = both.select(*KEY, "n_chars", "copies", *[f"next_{c}" for c in KEY], F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")).join(fps.hint("merge"), KEY)
-    rows = materialize(rows, "simhash-rows")
+    rows = keep(rows, "rows")
     after = rows.select(*[F.col(c).alias(f"next_{c}") for c in KEY], F.col("fp_text").alias("fp_next"))
     out = rows.join(after.hint("merge"), [f"next_{c}" for c in KEY])
     asked = ~F.col("nul") & (F.col("a") % every == 0)
     # sums are written before their joins: both sides are plain shuffles then, in which adaptive execution splits hot fingerprints
-    counts = materialize(rows.groupBy(F.col("fp_text").alias("fp")).agg(F.sum("copies").alias("n")), "simhash-counts")
+    counts = keep(rows.groupBy(F.col("fp_text").alias("fp")).agg(F.sum("copies").alias("n")), "counts")
     found = near(rows.where(asked).select(F.col("fp_text").alias("fp")), counts).join(counts.hint("merge"), "fp")
-    found = materialize(found.groupBy(F.col("query").alias("fp_text")).agg((F.sum("n") - 1).alias("found")), "simhash-found")
+    found = keep(found.groupBy(F.col("query").alias("fp_text")).agg((F.sum("n") - 1).alias("found")), "found")
     out = out.join(found.hint("merge"), "fp_text", "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return out.select(
         F.when(~F.col("nul"), F.col("a")).alias("doc_id"), "n_chars", "edited_sha256", text_of(F.col("fp_text")).alias("fingerprint"), text_of(F.col("fp_edited")).alias("edited_fingerprint"),
