@@ -15,7 +15,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -167,14 +167,27 @@ def fit(examples: list[tuple[np.ndarray, np.ndarray]], labels: list[int], langua
     return Model(languages, rows, w[rows], bias, best[1])
 
 
+def _sampled(known: DataFrame, sample: int) -> DataFrame:
+    """Rows of the least hashes within each language: an equal share of ``sample`` each. A threshold for each language, of twice its share, leaves few rows to be
+    ordered; a language that has less than that keeps all. Equal rows count once."""
+    counts = sorted((r.lang, r.n) for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect())
+    each = max(1, sample // max(1, len(counts)))
+    shares = known.sparkSession.createDataFrame([(lang, min(1.0, (2 * each + 20) / n)) for lang, n in counts], "lang string, share double")
+    h = F.xxhash64("doc_id", "text")
+    some = known.withColumn("h", h).join(F.broadcast(shares), "lang").where(F.pmod(F.col("h"), F.lit(1 << 32)) < F.col("share") * float(1 << 32))
+    some = some.dropDuplicates(["lang", "doc_id", "h"])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(F.col("h"), F.lit(1 << 32)), "h", "doc_id"))
+    return some.withColumn("place", place).where(F.col("place") <= each).select("doc_id", "lang", "text")
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from text and lang of the rows (doc_id, text, lang) with a lang: frequencies over all rows, weights from at
-    most ``sample`` of them. The driver gets the features of these, whose number FEATURES bounds for each."""
+    most ``sample`` of them, or one for each language where there are more of these. Each language has an equal share, and a smaller one all that it has:
+    every language of the table is learned. The driver gets the features of these rows, whose number FEATURES bounds for each, and a count by language."""
     known = docs.where("lang is not null and text is not null")
     df, total = document_frequencies(known)
     idf = np.log((1 + total) / (1 + df)) + 1
-    some = known.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(sample)
-    rows = known.select("doc_id", "lang", "text").join(F.broadcast(some.select("doc_id").distinct()), "doc_id")
+    rows = _sampled(known.select("doc_id", "lang", "text"), sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
