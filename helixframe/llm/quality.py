@@ -191,7 +191,7 @@ def held_out(doc_id, parts: int = 5, part: int = 0):
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     """Fits a network to the labels (doc_id, quality 0 or 1) of at most ``sample`` documents that aren't held out: those whose
-    ids have the least hashes, whole texts, and of these no more than SAMPLE_BYTES hold (rows that share an id come all or not at all). Labels that are null are left out; of several labels for an
+    ids have the least hashes, whole texts, and of these as many as it takes to hold SAMPLE_BYTES, each (all rows of an id) no larger than that. Labels that are null are left out; of several labels for an
     id, the lowest counts. What comes to the driver is these texts."""
     known = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     # as many ids as the sample may have, so of a bounded size
@@ -200,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     sizes = rows.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("bytes")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     taken, held = [], 0
     for r in sizes:
-        if held + r.bytes <= SAMPLE_BYTES:
+        if held < SAMPLE_BYTES and r.bytes <= SAMPLE_BYTES:
             taken.append((r.doc_id,))
             held += r.bytes
     if len(taken) < len(sizes):
