@@ -28,7 +28,7 @@ from helixframe.scratch import materialize, tables
 
 WINDOW, ANCHOR = 13, 8
 #: Runs that stream through one copy of an automaton, about.
-RUNS = 1024
+RUNS = 256
 #: Bits of a block of the Bloom filter; most blocks (64 MB in all); bits for each anchor below that; bits set for each.
 BLOCK_BITS, MOST_BLOCKS, BITS_EACH, PROBES = 1 << 19, 1024, 16, 4
 
