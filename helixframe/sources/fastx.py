@@ -10,15 +10,17 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from helixframe.scratch import materialize
+from helixframe.sources import ranges
+
 SCHEMA = "file string, ordinal long, id string, seq string, plus string, qual string, crlf boolean"
 _FASTQ, _FASTA = (".fastq", ".fq"), (".fasta", ".fa", ".fna")
 
 
-class FormatError(ValueError):
-    pass
+FormatError = ranges.FormatError
 
 
 def is_gzip_name(path: str) -> bool:
@@ -77,25 +79,108 @@ def parse(content: bytes, form: str) -> Iterator[tuple[str, str, str | None, str
         yield name, seq, plus, qual, lines[i].endswith("\r")
 
 
-def read(spark: SparkSession, path: str, form: str | None = None) -> DataFrame:
-    """Records of all files of a path, with their places in their file. A file is read by one task as a whole: plain and gzip files can't be cut
-    without reading what is before, so large inputs should come as many files."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                text = opened(content)
-                own = form or detect(name, text[:4096].decode("ascii", "replace").splitlines())
-                rows: list[tuple] = []
-                for i, (rid, seq, plus, qual, crlf) in enumerate(parse(text, own)):
-                    rows.append((name, i, rid, seq, plus, qual, crlf))
-                    if len(rows) == 20_000:
-                        yield _batch(rows)
-                        rows = []
-                if rows:
-                    yield _batch(rows)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, SCHEMA)
+def read(spark: SparkSession, path: str, form: str | None = None, across: bool = False, size: int = ranges.RANGE) -> DataFrame:
+    """Records of all files of a path, with their places in their file, or, ``across`` all files, in the order of their names. Plain files and block gzip
+    are read in ranges of ``size`` bytes by many tasks, and twice: once to count what begins in each range. A plain gzip file can't be cut: one task reads it, as a stream.
+    ``form``: fastq or fasta (default: by name, else by the first lines). FASTQ records have four lines; FASTA ones a header, which may start with @, and any number."""
+
+    def counted(row: dict, f: pa.NativeFile) -> Iterator[pa.RecordBatch]:
+        own = form or detect(row["file"], _head(f, row["kind"]))
+        heads = (b">", b"@") if own == "fasta" else ()
+        n = ranges.count_starts(ranges.text_of(f, row["kind"], row["start"], row["end"]), row["start"] == 0, heads)
+        yield pa.RecordBatch.from_pylist([{**row, "form": own, "n": n}], schema=pa.schema([("file", pa.string()), ("kind", pa.string()), ("length", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("form", pa.string()), ("n", pa.int64())]))
+
+    cut = materialize(ranges.each(ranges.ranges(spark, path, size), "file string, kind string, length long, start long, end long, form string, n long", counted), "ranges")
+    places = ranges.numbered(cut, False)
+    if across:
+        # the last, empty line that ends a file isn't one: whole records by file come first, then the files before
+        per_file = cut.groupBy("file").agg(F.when(F.first("form") == "fasta", F.sum("n")).otherwise(F.floor(F.sum("n") / 4)).cast("long").alias("records"))
+        files = per_file.select("file", F.coalesce(F.sum("records").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long").alias("shift"))
+        places = places.join(files.hint("merge"), "file")
+    else:
+        places = places.withColumn("shift", F.lit(0).cast("long"))
+
+    def records(row: dict, f: pa.NativeFile) -> Iterator[pa.RecordBatch]:
+        lines = ranges.lines_of(ranges.text_of(f, row["kind"], row["start"], row["end"]), row["start"] == 0)
+        made = _fastq_batches if row["form"] == "fastq" else _fasta_batches
+        yield from made(lines, row["file"], row["before"], row["n"], row["shift"])
+
+    return ranges.each(places, SCHEMA, records)
+
+
+def _head(f: pa.NativeFile, kind: str) -> list[str]:
+    """The first lines of a file."""
+    head = next((c for c, _ in ranges.text_of(f, kind, 0, 4096)), b"")
+    f.seek(0)
+    return head[:4096].decode("ascii", "replace").splitlines()
+
+
+def _text(x: bytes) -> str:
+    return x.decode("ascii", "surrogateescape").encode("utf-8", "replace").decode()
+
+
+def _fastq_batches(lines: Iterator[list[bytes]], name: str, before: int, n: int, shift: int) -> Iterator[pa.RecordBatch]:
+    """Records that begin in lines before .. before + n - 1 of a file."""
+    skip, left = -before % 4, (before + n + 3) // 4 - (before + 3) // 4
+    place, held = (before + 3) // 4, []
+    while left > 0:
+        found = next(lines, None)
+        if found is not None:
+            drop = min(skip, len(found))
+            skip -= drop
+            held += found[drop:]
+            if len(held) < 4 * min(left, 5000):
+                continue
+        elif not held or (held == [b""]):
+            return
+        whole = min(left, len(held) // 4)
+        if found is None and len(held) % 4 and whole < left:
+            raise FormatError("the lines are no whole number of records")
+        rows = []
+        for i in range(whole):
+            own = held[4 * i : 4 * i + 4]
+            rid, seq, plus, qual = (x.rstrip(b"\r") for x in own)
+            if not rid.startswith(b"@") or not plus.startswith(b"+") or len(seq) != len(qual):
+                raise FormatError(f"record {place + i + 1}: no @, no +, or {len(qual)} qualities for {len(seq)} bases")
+            rows.append((name, place + i + shift, _text(rid), _text(seq), _text(plus), _text(qual), own[0].endswith(b"\r")))
+        if rows:
+            yield _batch(rows)
+        held, place, left = held[4 * whole :], place + whole, left - whole
+        if found is None:
+            return
+
+
+def _fasta_batches(lines: Iterator[list[bytes]], name: str, before: int, n: int, shift: int) -> Iterator[pa.RecordBatch]:
+    """The n records whose headers stand in a range, of which ``before`` come before in the file."""
+    rows: list[tuple] = []
+    head, parts, done = None, [], 0
+
+    def add() -> None:
+        rows.append((name, before + done + shift, _text(head.rstrip(b"\r")), _text(b"".join(parts)), None, None, head.endswith(b"\r")))
+
+    for found in lines:
+        for line in found:
+            if line[:1] in (b">", b"@"):
+                if head is not None:
+                    add()
+                    done += 1
+                if done == n:
+                    head = None
+                    break
+                head, parts = line, []
+            elif head is not None:
+                parts.append(line.rstrip(b"\r"))
+            elif not before and not done and n == 0 and line.strip():
+                raise FormatError("the first line isn't a header")
+        if len(rows) >= 5000 or (rows and done == n):
+            yield _batch(rows)
+            rows = []
+        if done == n:
+            return
+    if head is not None:
+        add()
+    if rows:
+        yield _batch(rows)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -115,11 +200,39 @@ def fasta(id: Column, seq: Column, crlf: bool = False) -> Column:
     return F.concat(F.concat_ws(eol, id, seq), F.lit("\r" if crlf else ""))
 
 
-def write(records: DataFrame, path: str, compression: str = "none") -> None:
-    """Writes one string column of formatted records, in order of ``ordinal``, as text files whose names sort in that order; ``compression``: none or gzip."""
-    if compression not in ("none", "gzip"):
-        raise FormatError(f"compression {compression!r}")
-    records.repartitionByRange("ordinal").sortWithinPartitions("ordinal").select("record").write.option("compression", compression).text(path)
+def write(records: DataFrame, path: str, compression: str = "none", level: int = 6) -> None:
+    """Writes one string column of formatted records, in order of ``ordinal``, as text files whose names sort in that order. ``compression``: none, gzip (members
+    of some MB, end to end) or bgzf (blocks, and the block that ends a file); ``level``: 1 to 9. Tasks compress what they have; no file passes through the driver."""
+    if compression not in ("none", "gzip", "bgzf") or not 1 <= level <= 9:
+        raise FormatError(f"compression {compression!r}, level {level}")
+    ordered = records.repartitionByRange("ordinal").sortWithinPartitions("ordinal").select("record")
+    if compression == "none":
+        ordered.write.text(path)
+        return
+    pack = (lambda data: bgzf(data, level, end=False)) if compression == "bgzf" else (lambda data: gzip.compress(data, level, mtime=0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: list[bytes] = []
+            size = 0
+            for r in batch.column(0).cast(pa.binary()).to_pylist():
+                held.append(r or b"")
+                size += len(held[-1]) + 1
+                if size > 4 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array([pack(b"\n".join(held) + b"\n")], pa.binary())], names=["part"])
+                    held, size = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array([pack(b"\n".join(held) + b"\n")], pa.binary())], names=["part"])
+
+    # the separator of Spark's text writer is an empty member, which readers pass over
+    end = _END if compression == "bgzf" else gzip.compress(b"", level, mtime=0)
+    packed = ordered.mapInArrow(run, "part binary").select(F.col("part").cast("string"))
+    packed.write.option("lineSep", end.decode("latin-1")).option("encoding", "ISO-8859-1").option("compression", "none").text(path)
+
+
+def level_for(xfl: Column, default: int) -> Column:
+    """The level that a gzip file's XFL byte speaks of: 2 is 8, 4 is 1 (fixed values), else the default."""
+    return F.when(xfl == 2, 8).when(xfl == 4, 1).otherwise(default)
 
 
 # -- block gzip --------------------------------------------------------------------------------------------
@@ -159,23 +272,84 @@ def bgzf_blocks(content: bytes) -> Iterator[tuple[int, int]]:
         at += size
 
 
-def gzip_header(content: bytes) -> dict | None:
-    """flg, mtime, xfl, os, name, bgzf, block_size of a first member; None if it isn't gzip."""
-    if content[:3] != b"\x1f\x8b\x08" or len(content) < 10:
-        return None
-    flg, mtime, xfl, os = struct.unpack_from("<BIBB", content, 3)
-    at, block = 10, None
-    if flg & 4:
-        n = struct.unpack_from("<H", content, at)[0]
-        extra = content[at + 2 : at + 2 + n]
-        if extra[:2] == b"BC" and len(extra) >= 6:
-            block = struct.unpack_from("<H", extra, 4)[0]
-        at += 2 + n
-    name = ""
-    if flg & 8:
-        end = content.find(b"\0", at)
-        name = content[at:end].decode("latin-1") if end >= 0 else ""
-    return {"flg": flg, "mtime": mtime, "xfl": xfl, "os": os, "name": name, "bgzf": block is not None, "block_size": block}
+gzip_header = ranges.header
+
+
+def gzip_headers(spark: SparkSession, path: str) -> DataFrame:
+    """file, kind, length and, for gzip, flg, mtime, xfl, os, name, block_size of the first member of each file; tasks read its first bytes."""
+    schema = "file string, kind string, length long, flg int, mtime long, xfl int, os int, name string, block_size int"
+    arrow = pa.schema([("file", pa.string()), ("kind", pa.string()), ("length", pa.int64()), ("flg", pa.int32()), ("mtime", pa.int64()), ("xfl", pa.int32()), ("os", pa.int32()), ("name", pa.string()), ("block_size", pa.int32())])
+
+    def looked(row: dict, f: pa.NativeFile) -> Iterator[pa.RecordBatch]:
+        found = ranges.header(f.read(1 << 16)) or {}
+        yield pa.RecordBatch.from_pylist([{k: {**found, **row}.get(k) for k in arrow.names}], schema=arrow)
+
+    return ranges.each(ranges.ranges(spark, path).where("start = 0"), schema, looked)
+
+
+def total_bytes(spark: SparkSession, path: str, size: int = ranges.RANGE) -> DataFrame:
+    """For each file: its bytes, its members (blocks; null for plain gzip), and the bytes of its text. Blocks say theirs in their last bytes and are not inflated; plain
+    gzip files are, each by one task, as a stream."""
+
+    def measured(row: dict, f: pa.NativeFile) -> Iterator[pa.RecordBatch]:
+        members, text = None, row["end"] - row["start"]
+        if row["kind"] == "bgzf":
+            members = text = 0
+            for at, block in ranges.blocks(f, row["start"]):
+                if at >= row["end"]:
+                    break
+                members, text = members + 1, text + struct.unpack("<I", block[-4:])[0]
+        elif row["kind"] == "gzip":
+            text = sum(len(c) for c, _ in ranges.text_of(f, "gzip", 0, row["end"]))
+        yield pa.RecordBatch.from_pylist([{"file": row["file"], "bytes": row["length"], "members": members, "text_bytes": text}], schema=pa.schema([("file", pa.string()), ("bytes", pa.int64()), ("members", pa.int64()), ("text_bytes", pa.int64())]))
+
+    parts = ranges.each(ranges.ranges(spark, path, size), "file string, bytes long, members long, text_bytes long", measured)
+    return parts.groupBy("file").agg(F.first("bytes").alias("bytes"), F.sum("members").alias("members"), F.sum("text_bytes").alias("text_bytes"))
+
+
+#: Endings (fixed values) of the lanes in names of outputs.
+_LANE_ENDINGS = {"R1", "R2", "R3", "I1", "I2"}
+
+
+def with_role(name: str, role: str) -> str:
+    """The name with a role in front of its first ending: a.fastq.gz becomes a.R1.fastq.gz."""
+    folder, slash, own = name.rpartition("/")
+    gz = own[-3:] if is_gzip_name(own) else ""
+    stem, dot, end = own.removesuffix(gz).partition(".")
+    return f"{folder}{slash}{stem}.{role}{dot}{end}{gz}"
+
+
+def grouped_names(names: dict[str, str]) -> dict[str, str]:
+    """Output names of lanes from their stored names: those that several lanes share get the lane in front of the ending, and a number behind it
+    while another output has that name too."""
+    out: dict[str, str] = {}
+    for lane, name in names.items():
+        if lane not in _LANE_ENDINGS:
+            raise FormatError(f"no lane {lane!r}")
+        own = with_role(name, lane) if sum(n == name for n in names.values()) > 1 else name
+        turn = 2
+        while own in out.values():
+            own, turn = with_role(name, f"{lane}{turn}"), turn + 1
+        out[lane] = own
+    return out
+
+
+def decompressed_names(archive: str, outputs: list[str], paired: bool, stored: list[str] = (), gzipped: list[bool] = (False, False), unzip: bool = False, fasta: bool = False) -> list[str]:
+    """Output names of an archive: those given; a single one for pairs is a prefix; none: the stored names, else the archive's name. Names that are made here
+    get .gz where the input had it, and lose it with ``unzip``."""
+    base = archive.rsplit("/", 1)[-1].removesuffix(".sp")
+    mates = 2 if paired else 1
+    if len(outputs) == mates and not (paired and len(outputs) == 1):
+        return list(outputs)
+    if not outputs:
+        made = [base + f".R{i + 1}" if paired else base + (".fasta" if fasta else ".fastq") for i in range(mates)]
+        out = [s.rsplit("/", 1)[-1] or m for s, m in zip([*stored, *[""] * mates], made, strict=False)]
+    elif paired and len(outputs) == 1:
+        out = [f"{outputs[0]}.R{i + 1}" for i in range(2)]
+    else:
+        raise FormatError(f"{len(outputs)} outputs for {mates}")
+    bare = [re.sub(r"\.gz$", "", o, flags=re.I) for o in out]
+    return bare if unzip else [o if is_gzip_name(o) or not g else o + ".gz" for o, g in zip(out, gzipped, strict=False)]
 
 
 def output_names(name: str, lanes: list[str], gzipped: bool) -> dict[str, str]:
@@ -196,6 +370,13 @@ def check_outputs(inputs: list[str], outputs: list[str]) -> None:
         raise FormatError("an output leaves its folder")
 
 
+def check_members(names: list[str]) -> None:
+    """Fails if a name within an archive is absolute, has a drive, is empty or leaves its folder."""
+    for n in names:
+        if not n or re.match(r"[\\/]|[A-Za-z]:", n) or ".." in re.split(r"[\\/]", n):
+            raise FormatError(f"member {n!r} leaves the archive")
+
+
 def stream(spark: SparkSession, path: str, form: str = "fastq") -> DataFrame:
     """Records of files as they come into a folder (an extension of the batch source): file, ordinal, id, seq, plus, qual, crlf."""
 
@@ -210,17 +391,6 @@ def stream(spark: SparkSession, path: str, form: str = "fastq") -> DataFrame:
     return spark.readStream.format("binaryFile").schema(schema).load(path).select("path", "content").mapInArrow(run, SCHEMA)
 
 
-def total_bytes(spark: SparkSession, path: str) -> DataFrame:
-    """For each file: its bytes, and the bytes of its text. gzip files are inflated, each by one task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, contents = batch.column(0), batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([names, pa.array([len(c) for c in contents], pa.int64()), pa.array([len(opened(c)) for c in contents], pa.int64())], names=["file", "bytes", "text_bytes"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, bytes long, text_bytes long")
-
-
 def has_records(spark: SparkSession, path: str) -> bool:
     """Whether any file of a path has a line that isn't empty; an absent path has none."""
     try:
