@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -25,6 +25,33 @@ def numeric(token: Column) -> Column:
     return F.when(F.rlike(token, F.lit("^(0|[1-9][0-9]{0,8})$")), token.try_cast("bigint"))
 
 
+#: Rows of a block of coded names.
+NAME_BLOCK = 10_000
+
+
+def coded(names: DataFrame, key: str = "ordinal") -> DataFrame:
+    """ordinal, place, code for names (ordinal, id): each token against that of the row before at its place: = for an equal one, + and the difference for numbers
+    of which the latter isn't less, else . and the token. Blocks of ``NAME_BLOCK`` places stand alone, so that tasks code them apart."""
+    each = names.select(key, F.posexplode(tokens(F.col("id"))).alias("place", "token"))
+    before = F.lag("token").over(Window.partitionBy(F.floor(F.col(key) / NAME_BLOCK), "place").orderBy(key))
+    step = numeric(F.col("token")) - numeric(F.col("before"))
+    code = F.when(F.col("token") == F.col("before"), "=").when(step >= 0, F.concat(F.lit("+"), step.cast("string"))).otherwise(F.concat(F.lit("."), F.col("token")))
+    return each.withColumn("before", before).select(key, "place", code.alias("code"))
+
+
+def decoded(codes: DataFrame, key: str = "ordinal") -> DataFrame:
+    """The inverse of ``coded``: differences are summed up from the last whole token of the block at their place on."""
+    place = [F.floor(F.col(key) / NAME_BLOCK), F.col("place")]
+    whole = F.when(F.startswith("code", F.lit(".")), F.substring("code", 2, 1 << 30))
+    step = F.when(F.startswith("code", F.lit("+")), F.substring("code", 2, 20).cast("long")).otherwise(F.lit(0).cast("long"))
+    rows = codes.withColumns({"whole": whole, "step": step}).withColumn("run", F.count("whole").over(Window.partitionBy(*place).orderBy(key)))
+    run = Window.partitionBy(*place, "run").orderBy(key)
+    rows = rows.withColumns({"from": F.first("whole").over(run), "add": F.sum("step").over(run)})
+    token = F.when(F.col("add") == 0, F.col("from")).otherwise((F.col("from").try_cast("long") + F.col("add")).cast("string"))
+    parts = rows.select(key, F.struct("place", token.alias("token")).alias("p")).groupBy(key).agg(F.sort_array(F.collect_list("p")).alias("p"))
+    return parts.select(key, joined(F.transform("p", lambda p: p["token"])).alias("id"))
+
+
 def _digit_place(name: Column) -> Column:
     """Place of the mate digit: after the first space before "1:", else before 1; 0 if there is none."""
     colon, plain = F.instr(name, " 1:"), F.instr(name, " 1")

@@ -60,6 +60,14 @@ def after_barcode(text: Column, n: int) -> Column:
     return F.substring(text, F.lit(n + 1), F.length(text))
 
 
+def may_strip_barcodes(assay: str, confidence: str, long_reads: bool, keeps_order: bool, length: int, length_given: bool, kept_elsewhere: bool = False, note: str = "") -> bool:
+    """Whether the first bases of R1 are stripped as barcodes: single-cell RNA, short reads that keep their order, barcodes that no other file has, neither the
+    index lanes nor the third one. The assay is set by hand, or it is sure and so is the length."""
+    if assay != "sc-rna" or long_reads or not keeps_order or kept_elsewhere or length == 0 or "index-group" in note or "read3-group" in note:
+        return False
+    return confidence == "N/A" or (length_given and confidence.startswith("high"))
+
+
 def may_strip_tails(assay: str, confidence: str, long_reads: bool, keeps_order: bool) -> bool:
     """Whether poly-A and poly-T tails are stripped: RNA, sure or set by hand, short reads whose order is given up."""
     return assay in ("rna", "sc-rna") and not long_reads and not keeps_order and (confidence == "N/A" or confidence.startswith("high"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.operators.order import running_sum
+
 #: For each base of the contig, the bases of a read that codes 0, 1, 2, 3 stand for.
 NOISE = {"A": "CGTN", "C": "AGTN", "G": "TACN", "T": "GCAN", "N": "ACGT"}
 
@@ -20,7 +22,7 @@ def _base_map() -> Column:
 def votes(placed: DataFrame) -> DataFrame:
     """contig_id, place, base, n for reads (contig_id, pos, seq): how many reads have a base at a place; N doesn't vote."""
     each = placed.select("contig_id", "pos", F.posexplode(F.split("seq", "")).alias("i", "base")).where(F.col("base").isin(*"ACGT"))
-    return each.groupBy("contig_id", (F.col("pos") + F.col("i")).alias("place"), "base").agg(F.least(F.count("*"), F.lit(65535)).alias("n"))
+    return each.groupBy("contig_id", (F.col("pos") + F.col("i")).alias("place"), "base").agg(F.count("*").alias("n"))
 
 
 def consensus(placed: DataFrame) -> DataFrame:
@@ -30,21 +32,46 @@ def consensus(placed: DataFrame) -> DataFrame:
     return votes(placed).groupBy("contig_id", "place").agg(best).select("contig_id", "place", F.translate("b.late", "TGCA", "ACGT").alias("base"))
 
 
+#: Places of a box of a contig.
+BOX = 64
+
+
 def contigs(placed: DataFrame) -> DataFrame:
-    """contig_id, first (its first place), seq; places without a vote are N. A contig's places are one row, so contigs are cut beforehand."""
-    rows = consensus(placed).groupBy("contig_id").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.map_from_entries(F.collect_list(F.struct("place", "base"))).alias("m"))
+    """contig_id, first (its first place), seq; places without a vote are N. Places are put together by boxes of ``BOX`` places, and these in order, so that the
+    work grows with a contig's length; a contig is one row in the end: ``cut`` cuts longer ones beforehand."""
+    box = F.floor(F.col("place") / BOX).alias("box")
+    boxes = consensus(placed).groupBy("contig_id", box).agg(F.min("place").alias("first"), F.max("place").alias("last"), F.map_from_entries(F.collect_list(F.struct("place", "base"))).alias("m"))
     letters = F.transform(F.sequence("first", "last"), lambda i: F.coalesce(F.element_at("m", i), F.lit("N")))
-    return rows.select("contig_id", "first", F.array_join(letters, "").alias("seq"))
+    rows = boxes.select("contig_id", F.struct("first", "last", F.array_join(letters, "").alias("text")).alias("p")).groupBy("contig_id").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    gap = lambda p, i: F.when(i == 0, F.lit(0)).otherwise(p["first"] - F.get("p", i - 1)["last"] - 1).cast("int")
+    joined = F.array_join(F.transform("p", lambda p, i: F.concat(F.repeat(F.lit("N"), gap(p, i)), p["text"])), "")
+    return rows.select("contig_id", F.get("p", F.lit(0))["first"].alias("first"), joined.alias("seq"))
+
+
+#: A contig ends where it has so many places or reads (fixed values).
+MOST_PLACES, MOST_READS = 64 << 20, 10_000_000
+
+
+def cut(placed: DataFrame, most_places: int = MOST_PLACES, most_reads: int = MOST_READS) -> DataFrame:
+    """Adds piece, struct<by_place, by_reads>: the parts that a contig is cut into, by place of a read, and by the number of reads in the boxes before its own. Boxes are counted
+    before a window sums them up, so that a contig's reads never meet in one task; pieces have up to one box's reads more than ``most_reads``."""
+    box = F.floor(F.col("pos") / BOX)
+    counts = placed.groupBy("contig_id", box.alias("__box")).agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("contig_id").orderBy("__box").rowsBetween(Window.unboundedPreceding, -1)
+    part = counts.select("contig_id", "__box", F.floor(F.coalesce(F.sum("n").over(upto), F.lit(0)) / most_reads).alias("__reads"))
+    rows = placed.withColumn("__box", box).join(part.hint("merge"), ["contig_id", "__box"])
+    return rows.withColumn("piece", F.struct(F.floor(F.col("pos") / most_places).alias("by_place"), F.col("__reads").alias("by_reads"))).drop("__box", "__reads")
+
+
+def by_place(placed: DataFrame, key: str = "ordinal") -> DataFrame:
+    """Reads in order of their contig and place, equal ones in order of ``key``; each partition before the next one."""
+    return placed.repartitionByRange("contig_id", "pos", key).sortWithinPartitions("contig_id", "pos", key)
 
 
 def offsets(contigs: DataFrame) -> DataFrame:
     """contig_id, length, start: where each contig starts when they are laid end to end in order of contig_id."""
     lengths = contigs.select("contig_id", F.length("seq").cast("long").alias("length"))
-    block = F.floor(F.col("contig_id") / 4096)
-    sums = lengths.groupBy(block.alias("block")).agg(F.sum("length").alias("n"))
-    before = sums.select("block", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shift"))
-    inside = F.coalesce(F.sum("length").over(Window.partitionBy("block").orderBy("contig_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return lengths.withColumn("block", block).withColumn("inside", inside).join(before, "block").select("contig_id", "length", (F.col("inside") + F.col("shift")).cast("long").alias("start"))
+    return running_sum(lengths, [F.col("contig_id")], "length", "start")
 
 
 def noise(ref: Column, seq: Column) -> Column:
@@ -68,14 +95,16 @@ def apply_noise(ref: Column, noise: Column) -> Column:
     return F.aggregate(noise, ref, step)
 
 
-def fetch(spans: DataFrame, contigs: DataFrame, width: int = 64) -> DataFrame:
-    """For spans (ordinal, start, len) over contigs (start, seq) laid end to end: ordinal and the bases. Both are dealt into boxes of
-    ``width`` places, so that the range join is one on equal boxes; a span may pass over contigs."""
-    boxed = lambda a, b: F.explode(F.sequence(F.floor(a / width), F.floor(b / width)))
-    s = spans.select("ordinal", F.col("start").alias("s"), (F.col("start") + F.col("len")).alias("e")).withColumn("box", boxed(F.col("s"), F.col("e") - 1))
-    c = contigs.select(F.col("start").alias("cs"), "seq").withColumn("ce", F.col("cs") + F.length("seq")).withColumn("box", boxed(F.col("cs"), F.col("ce") - 1))
+def fetch(spans: DataFrame, contigs: DataFrame, width: int = BOX) -> DataFrame:
+    """For spans (ordinal, start, len) over contigs (start, seq) laid end to end: ordinal and the bases. Contigs are cut into pieces of ``width`` bases before
+    the shuffle, both are dealt into boxes of as many places, so that the range join is one on equal boxes; a span may pass over contigs."""
+    boxed = lambda a, b: F.explode(F.sequence(F.floor(a / width), F.floor((b - 1) / width)))
+    s = spans.select("ordinal", F.col("start").alias("s"), (F.col("start") + F.col("len")).alias("e")).withColumn("box", boxed(F.col("s"), F.col("e")))
+    pieces = contigs.select("start", F.posexplode(F.regexp_extract_all("seq", F.lit(f"(.{{1,{width}}})"), F.lit(1))).alias("i", "piece"))
+    c = pieces.select((F.col("start") + F.col("i") * width).alias("cs"), "piece").withColumn("ce", F.col("cs") + F.length("piece")).withColumn("box", boxed(F.col("cs"), F.col("ce")))
     meet = (F.col("cs") < F.col("e")) & (F.col("s") < F.col("ce"))
-    first = F.floor(F.greatest("s", "cs") / width) == F.col("box")  # each meeting once
-    cut = F.substring("seq", (F.greatest("s", "cs") - F.col("cs") + 1).cast("int"), (F.least("e", "ce") - F.greatest("s", "cs")).cast("int"))
-    parts = s.join(c, "box").where(meet & first).select("ordinal", F.struct(F.greatest("s", "cs").alias("at"), cut.alias("bases")).alias("p"))
+    at = F.greatest("s", "cs")
+    first = F.floor(at / width) == F.col("box")  # each meeting once
+    bases = F.substring("piece", (at - F.col("cs") + 1).cast("int"), (F.least("e", "ce") - at).cast("int"))
+    parts = s.join(c, "box").where(meet & first).select("ordinal", F.struct(at.alias("at"), bases.alias("bases")).alias("p"))
     return parts.groupBy("ordinal").agg(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["bases"]), "").alias("bases"))

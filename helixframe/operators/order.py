@@ -20,6 +20,38 @@ def with_ordinal(df: DataFrame, keys: list[Column], out: str = "ordinal") -> Dat
     return numbered.withColumn(out, (F.col("__row") - 1 + F.col("__shift")).cast("long")).drop("__part", "__row", "__shift")
 
 
+def running_sum(df: DataFrame, keys: list[Column], value: str, out: str) -> DataFrame:
+    """Adds the sum of ``value`` over all rows before in the order of ``keys``: by the same ranges as ``with_ordinal``."""
+    dealt = materialize(df.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()), "ranges")
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("__part").agg(F.sum(value).alias("__sum"))
+    shift = sums.select("__part", F.coalesce(F.sum("__sum").over(before(Window.orderBy("__part"))), F.lit(0)).alias("__shift"))  # a row for each range
+    inside = F.coalesce(F.sum(value).over(before(Window.partitionBy("__part").orderBy(*keys))), F.lit(0))
+    return dealt.withColumn("__inside", inside).join(F.broadcast(shift), "__part").withColumn(out, (F.col("__inside") + F.col("__shift")).cast("long")).drop("__part", "__inside", "__shift")
+
+
+#: Rows of a block of a stored column, and the least step that a stored delta can't have (fixed value).
+DELTA_BLOCK, DELTA_ESCAPE = 10_000, 65_535
+
+
+def position_deltas(df: DataFrame, value: str, key: str = "ordinal") -> DataFrame:
+    """Positions as steps from the row before: delta, or ``DELTA_ESCAPE`` with the position in ``absolute`` where a block begins, the step is negative
+    or too large. Blocks of ``DELTA_BLOCK`` places of ``key`` stand alone, so that tasks code them apart."""
+    block = F.floor(F.col(key) / DELTA_BLOCK)
+    step = F.col(value) - F.lag(value).over(Window.partitionBy("__block").orderBy(key))
+    rows = df.withColumn("__block", block).withColumn("__step", step)
+    step, fits = F.col("__step"), F.col("__step").between(0, DELTA_ESCAPE - 1)
+    return rows.withColumns({"delta": F.when(fits, step).otherwise(DELTA_ESCAPE).cast("int"), "absolute": F.when(~F.coalesce(fits, F.lit(False)), F.col(value))}).drop(value, "__block", "__step")
+
+
+def positions(coded: DataFrame, out: str, key: str = "ordinal") -> DataFrame:
+    """The inverse of ``position_deltas``: steps are summed up from the last absolute position of the block on."""
+    order = Window.partitionBy("__block").orderBy(key)
+    rows = coded.withColumn("__block", F.floor(F.col(key) / DELTA_BLOCK)).withColumn("__run", F.count("absolute").over(order))
+    inside = Window.partitionBy("__block", "__run").orderBy(key)
+    return rows.withColumn(out, F.sum(F.coalesce(F.col("absolute"), F.col("delta").cast("long"))).over(inside)).drop("delta", "absolute", "__block", "__run")
+
+
 def restore_order(df: DataFrame, key: str = "ordinal") -> DataFrame:
     """Rows in ascending order of ``key``, each partition before the next one."""
     return df.repartitionByRange(key).sortWithinPartitions(key)

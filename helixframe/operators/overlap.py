@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.seq import reverse_complement
+from helixframe.scratch import materialize
 
 #: Under so many reads one key window is enough.
 ONE_WINDOW_BELOW = 50_000
-#: Bits of the codes of the bases: two for pairs of reads, three for reads against contigs.
-CODES2 = {"A": 0, "C": 2, "G": 1, "T": 3}
 
 
 def middle_windows(max_len: int) -> list[tuple[int, int]]:
@@ -43,9 +42,15 @@ def buckets(keyed: DataFrame) -> DataFrame:
 
 
 def chains(keyed: DataFrame) -> DataFrame:
-    """Each bucket as one chain: ordinal, dict, key, link to the read before (null for the first)."""
-    w = Window.partitionBy("dict", "key").orderBy("ordinal")
-    return keyed.select("ordinal", "dict", "key", F.lag("ordinal").over(w).alias("before"))
+    """Each bucket as one chain: ordinal, dict, key, link to the read before (null for the first). Rows are dealt by ranges of (dict, key, ordinal), so that
+    a bucket of any size spreads over tasks; the first row of a range hangs on the last one of the range before."""
+    keys = ["dict", "key", "ordinal"]
+    dealt = materialize(keyed.select(*keys).repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()), "ranges")
+    last = dealt.groupBy("__part").agg(F.max(F.struct(*keys)).alias("__last"))
+    ends = last.select("__part", F.lag("__last").over(Window.orderBy("__part")).alias("__end"))  # a row for each range
+    prior = F.lag(F.struct(*keys)).over(Window.partitionBy("__part").orderBy(*keys))
+    rows = dealt.withColumn("__prior", prior).join(F.broadcast(ends), "__part").withColumn("p", F.coalesce("__prior", "__end"))
+    return rows.select(*keys, F.when((F.col("p.dict") == F.col("dict")) & (F.col("p.key") == F.col("key")), F.col("p.ordinal")).alias("before"))
 
 
 def mismatches(a: Column, b: Column) -> Column:

@@ -56,8 +56,9 @@ def reference_kmers(labelled: DataFrame) -> DataFrame:
 def kmer_hits(reads: DataFrame, reference: DataFrame) -> DataFrame:
     """For each lane, the sampled 17-mers (every tenth place) and those labelled EXON, PROMOTER and INTRON_CTRL."""
     each = reads.select("lane", F.explode(F.transform(seq.kmers(F.col("seq"), 10), seq.canonical)).alias("kmer"))
-    hit = lambda s: F.count(F.when(F.col("label") == s, 1)).alias(f"{s.lower().split('_')[0]}_hits")
-    return each.join(reference, "kmer", "left").groupBy("lane").agg(F.count("*").alias("sampled"), hit("EXON"), hit("PROMOTER"), hit("INTRON_CTRL"))
+    each = each.groupBy("lane", "kmer").agg(F.count("*").alias("n"))  # a frequent k-mer is one row of its lane in the join
+    hit = lambda s: F.coalesce(F.sum(F.when(F.col("label") == s, F.col("n"))), F.lit(0)).alias(f"{s.lower().split('_')[0]}_hits")
+    return each.join(reference, "kmer", "left").groupBy("lane").agg(F.sum("n").alias("sampled"), hit("EXON"), hit("PROMOTER"), hit("INTRON_CTRL"))
 
 
 def depletion(hit: Column, other: Column) -> Column:
@@ -99,22 +100,68 @@ def single_cell(barcode_rate: Column, umi_rate: Column, median_1: Column, median
     return sum((F.when(c, 1).otherwise(0) for c in (barcode_rate > 0.5, umi_rate > 0.5, (median_1 <= 45) & (median_2 - median_1 >= 30))), F.lit(int(explicit)))
 
 
-def assay_call(reads: DataFrame) -> DataFrame:
-    """Evidence for each lane, with the call over all of them: points, assay, confidence. Lanes are R1, R2 and others."""
+def _evidence(reads: DataFrame, reference: DataFrame | None, explicit: bool) -> tuple[DataFrame, DataFrame]:
+    """Evidence for each lane, and one row with the call over all of them."""
     rates, bases, medians = lane_rates(reads), composition(reads), upper_median(reads.select("lane", F.length("seq").alias("len")), "lane", "len")
     lanes = rates.join(bases, "lane").join(medians, "lane")
     of = lambda lane, c, none: F.coalesce(F.max(F.when(F.col("lane") == lane, F.col(c))), F.lit(none))
     tops = [F.max(c).alias(f"top_{c}") for c in ("polyat_rate", "adapter_rate", "barcode_rate", "umi_rate")]
     call = lanes.agg(*tops, *[of(lane, f"n_{b}", 0).alias(f"{lane.lower()}_{b}") for lane in ("R1", "R2") for b in "acgt"], *[F.max(F.when(F.col("lane") == lane, F.col("median"))).alias(f"median_{lane.lower()}") for lane in ("R1", "R2")])
-    mate = lambda m: bisulfite_points(*[F.col(f"{m}_{b}") for b in "ctga"])["points"]
-    call = call.withColumn("bisulfite_points", mate("r1") + mate("r2")).withColumn("atac_points", atac_points(F.col("top_adapter_rate"))).withColumn("rna_points", rna_points(F.col("top_polyat_rate"), F.col("bisulfite_points")))
+    promoter = exon = None
+    if reference is not None:
+        hits = kmer_hits(reads, reference).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("exon_hits", "promoter_hits", "intron_hits")])
+        call = call.crossJoin(F.broadcast(hits))  # one row each
+        promoter, exon = F.col("promoter_hits") / (F.col("intron_hits") + 1), F.col("exon_hits") / (F.col("intron_hits") + 1)
+    for m in ("r1", "r2"):
+        call = call.withColumn(f"{m}_bisulfite", bisulfite_points(*[F.col(f"{m}_{b}") for b in "ctga"]))
+    call = call.withColumn("bisulfite_points", F.col("r1_bisulfite.points") + F.col("r2_bisulfite.points")).withColumn("atac_points", atac_points(F.col("top_adapter_rate"), promoter)).withColumn("rna_points", rna_points(F.col("top_polyat_rate"), F.col("bisulfite_points"), exon))
     call = call.withColumn("base_assay", pick(F.col("atac_points"), F.col("rna_points"), F.col("bisulfite_points")))
-    signs = F.coalesce(single_cell(F.col("top_barcode_rate"), F.col("top_umi_rate"), F.col("median_r1"), F.col("median_r2")), F.lit(0))
-    call = call.withColumn("assay", F.when((signs > 0) & (F.col("base_assay") != "dna"), F.concat(F.lit("sc-"), F.col("base_assay"))).otherwise(F.col("base_assay")))
+    call = call.withColumn("signs", F.coalesce(single_cell(F.col("top_barcode_rate"), F.col("top_umi_rate"), F.col("median_r1"), F.col("median_r2"), explicit), F.lit(int(explicit))))
+    call = call.withColumn("assay", F.when((F.col("signs") > 0) & (F.col("base_assay") != "dna"), F.concat(F.lit("sc-"), F.col("base_assay"))).otherwise(F.col("base_assay")))
     call = call.withColumn("confidence", confidence(F.col("base_assay"), F.greatest("atac_points", "rna_points", "bisulfite_points")))
+    return lanes, call.withColumn("detail", _detail(promoter, exon, explicit))
+
+
+#: Phrases of the evidence (fixed values).
+_SAID = {"adapter": ("Tn5 adapters (>5%)", "Tn5 adapters", "Tn5 adapters (weak)"), "tail": ("poly-A/T tails (>5%)", "poly-A/T tails"), "promoter": "promoter alignment", "exon": "exon alignment",
+         "none": "default", "layout": ("explicit lanes", "CB tags", "UMI tags", "read length asymmetry")}
+
+
+def _detail(promoter: Column | None, exon: Column | None, explicit: bool) -> Column:
+    """What speaks for the call, in words, behind its level."""
+    c, said = F.col, _SAID
+    mate = lambda m: F.when(c(f"{m}_bisulfite.points") == 80, F.concat(F.lit(f"{m.upper()} "), c(f"{m}_bisulfite.base"), F.lit("-depletion"))).when(c(f"{m}_bisulfite.points") == 40, F.concat(F.lit(f"{m.upper()} moderate "), c(f"{m}_bisulfite.base"), F.lit("-depletion")))
+    rate = c("top_adapter_rate")
+    adapter = F.when(rate > 0.05, said["adapter"][0]).when(rate > 0.01, said["adapter"][1]).when(rate > 0.003, said["adapter"][2])
+    tail = F.when(c("bisulfite_points") > 30, F.lit(None)).when(c("top_polyat_rate") > 0.05, said["tail"][0]).when(c("top_polyat_rate") > 0.015, said["tail"][1])
+    aligned = lambda ratio, least, s: F.lit(None) if ratio is None else F.when(ratio > least, said[s])
+    own = F.when(c("base_assay") == "dna", said["none"]).when(c("base_assay") == "bisulfite", F.concat_ws(", ", mate("r1"), mate("r2")))
+    own = own.when(c("base_assay") == "atac", F.concat_ws(", ", adapter, aligned(promoter, 5.0, "promoter"))).otherwise(F.concat_ws(", ", tail, aligned(exon, 10.0, "exon")))
+    signs = (F.lit(explicit), c("top_barcode_rate") > 0.5, c("top_umi_rate") > 0.5, (c("median_r1") <= 45) & (c("median_r2") - c("median_r1") >= 30))
+    layout = F.concat_ws(", ", *[F.when(x, s) for x, s in zip(signs, said["layout"], strict=True)])
+    sc = F.when(F.startswith(c("assay"), F.lit("sc-")), F.concat(F.lit("; sc: "), layout)).otherwise("")
+    return F.concat(c("confidence"), F.lit(" ("), own, sc, F.lit(")"))
+
+
+def assay_call(reads: DataFrame, reference: DataFrame | None = None, explicit: bool = False) -> DataFrame:
+    """Evidence for each lane, with the call over all of them: points, assay, confidence. Lanes are R1, R2 and others. ``reference``: labelled k-mers (see
+    ``reference_kmers``), whose hits add to the points; ``explicit``: index lanes were given, which speaks for single cells."""
+    lanes, call = _evidence(reads, reference, explicit)
     return lanes.crossJoin(F.broadcast(call.select("bisulfite_points", "atac_points", "rna_points", "assay", "confidence")))  # one row
 
 
+def assay_detail(reads: DataFrame, reference: DataFrame | None = None, explicit: bool = False) -> DataFrame:
+    """One row: assay, confidence with the evidence in words, and how bisulfite reads are to be coded: depleted_1, depleted_2 (C or G, else N), ternary, escape. Both mates take
+    one alphabet, or none: it takes the same depleted base in both (a missing second mate has the first one's) and a ratio under 0.05."""
+    _, call = _evidence(reads, reference, explicit)
+    c = F.col
+    second = F.when(sum((c(f"r2_{b}") for b in "cgt"), c("r2_a")) == 0, c("r1_bisulfite.base")).otherwise(c("r2_bisulfite.base"))
+    least = lambda hit, other: F.least(*[depletion(c(f"{m}_{hit}"), c(f"{m}_{other}")) for m in ("r1", "r2")])
+    on = ((least("c", "t") < 0.05) | (least("g", "a") < 0.05)) & (c("r1_bisulfite.base") == second) & second.isin("C", "G")
+    base = F.when(on, second).otherwise("N")
+    return call.select("assay", c("detail").alias("confidence"), base.alias("depleted_1"), base.alias("depleted_2"), on.alias("ternary"), F.when(on, second).otherwise("C").alias("escape"))
+
+
 def adapter_activation(reads: DataFrame) -> DataFrame:
     """One row: eligible reads (without N), bases that stripping would take, and whether it is worth it. Decided once, for all reads."""
     own = reads.where(~seq.has_n(F.col("seq"))).agg(F.count("*").alias("eligible"), F.coalesce(F.sum(tails.adapter_info(F.col("seq"))["overlap"]), F.lit(0)).cast("long").alias("stripped"))

@@ -201,33 +201,36 @@ def fasta(id: Column, seq: Column, crlf: bool = False) -> Column:
 
 
 def write(records: DataFrame, path: str, compression: str = "none", level: int = 6) -> None:
-    """Writes one string column of formatted records, in order of ``ordinal``, as text files whose names sort in that order. ``compression``: none, gzip (members
-    of some MB, end to end) or bgzf (blocks, and the block that ends a file); ``level``: 1 to 9. Tasks compress what they have; no file passes through the driver."""
+    """Writes one string column of formatted records, in order of ``ordinal``, as text files whose names sort in that order. ``compression``: none, gzip (Spark's
+    codec) or bgzf (blocks, and the empty one that ends a file; files of this kind are named .txt as well, readers tell them by their first bytes); ``level``: 1 to 9.
+    Tasks compress what they have; no file passes through the driver."""
     if compression not in ("none", "gzip", "bgzf") or not 1 <= level <= 9:
         raise FormatError(f"compression {compression!r}, level {level}")
     ordered = records.repartitionByRange("ordinal").sortWithinPartitions("ordinal").select("record")
-    if compression == "none":
-        ordered.write.text(path)
+    if compression != "bgzf":
+        ordered.write.option("compression", compression).option("zlib.compress.level", _LEVELS[level]).text(path)
         return
-    pack = (lambda data: bgzf(data, level, end=False)) if compression == "bgzf" else (lambda data: gzip.compress(data, level, mtime=0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        packed = lambda: pa.RecordBatch.from_arrays([pa.array([bgzf(b"".join(held), level, end=False)], pa.binary())], names=["part"])
         for batch in batches:
-            held: list[bytes] = []
-            size = 0
             for r in batch.column(0).cast(pa.binary()).to_pylist():
-                held.append(r or b"")
-                size += len(held[-1]) + 1
+                held.append((r or b"") + b"\n")
+                size += len(held[-1])
                 if size > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array([pack(b"\n".join(held) + b"\n")], pa.binary())], names=["part"])
+                    yield packed()
                     held, size = [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array([pack(b"\n".join(held) + b"\n")], pa.binary())], names=["part"])
+        if held:
+            yield packed()
 
-    # the separator of Spark's text writer is an empty member, which readers pass over
-    end = _END if compression == "bgzf" else gzip.compress(b"", level, mtime=0)
+    # the text writer ends each row, so each 4 MB of text, with the empty block that also ends a file
     packed = ordered.mapInArrow(run, "part binary").select(F.col("part").cast("string"))
-    packed.write.option("lineSep", end.decode("latin-1")).option("encoding", "ISO-8859-1").option("compression", "none").text(path)
+    packed.write.option("lineSep", _END.decode("latin-1")).option("encoding", "ISO-8859-1").option("compression", "none").text(path)
+
+
+#: Names that Hadoop's codecs have for the levels (fixed values).
+_LEVELS = dict(zip(range(1, 10), "BEST_SPEED TWO THREE FOUR FIVE SIX SEVEN EIGHT BEST_COMPRESSION".split(), strict=True))
 
 
 def level_for(xfl: Column, default: int) -> Column:
