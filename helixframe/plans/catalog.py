@@ -179,6 +179,52 @@ def header_tags(r):
     return lanes(r).where("lane = 'R2'").select("ordinal", ids.has_barcode_tag(F.col("id")).alias("cb"), ids.has_umi_tag(F.col("id")).alias("umi"))
 
 
+# -- files -----------------------------------------------------------------------------------------------------
+
+
+def _file(r: DataFrame, compression: str, form: str = "fastq") -> str:
+    """Files of the reads in the shared folder."""
+    path = scratch_path(r.sparkSession, "files")
+    record = fastx.fastq(F.col("id"), F.col("seq"), F.col("qual")) if form == "fastq" else fastx.fasta(F.col("id"), F.col("seq"))
+    fastx.write(r.select("ordinal", record.alias("record")), path, compression)
+    return path
+
+
+@query("SELECT ordinal, id, seq, '+' AS plus, qual, false AS crlf FROM reads")
+def fastq_scan(r):
+    """FASTQ files, written and read in ranges."""
+    return fastx.read(r.sparkSession, _file(r, "none"), "fastq", across=True, size=1 << 20).drop("file")
+
+
+@query("SELECT ordinal, id, seq FROM reads")
+def fasta_scan(r):
+    return fastx.read(r.sparkSession, _file(r, "none", "fasta"), "fasta", across=True, size=1 << 20).select("ordinal", "id", "seq")
+
+
+@query("SELECT ordinal, id, seq, qual FROM reads")
+def gzip_scan(r):
+    return fastx.read(r.sparkSession, _file(r, "gzip"), "fastq", across=True).select("ordinal", "id", "seq", "qual")
+
+
+@query("SELECT ordinal, id, seq, qual FROM reads")
+def bgzf_roundtrip(r):
+    """Block gzip, written by tasks and read in ranges of whole blocks."""
+    return fastx.read(r.sparkSession, _file(r, "bgzf"), "fastq", across=True, size=1 << 18).select("ordinal", "id", "seq", "qual")
+
+
+@query("SELECT v.kind, (SELECT sum(length(id) + 2 * length(seq) + 5) FROM reads)::BIGINT AS text_bytes, v.profile, v.origin FROM (VALUES ('plain', NULL, NULL), ('gzip', 'DEFAULT/OTHER', 'Programmatic (No filename)'), ('bgzf', 'BGZF (Default)', 'htslib/samtools/clib')) v(kind, profile, origin)")
+def file_kinds(r):
+    """What the first bytes of files say about them, and the bytes of their text."""
+    out = None
+    for compression in ("none", "gzip", "bgzf"):
+        path = _file(r, compression)
+        one = fastx.gzip_headers(r.sparkSession, path).join(fastx.total_bytes(r.sparkSession, path), "file")
+        out = one if out is None else out.unionByName(one)
+    b, known = F.col("kind") == "bgzf", F.col("kind") != "plain"
+    rows = out.withColumns({"profile": F.when(known, integrity.gzip_profile(b, F.col("xfl"))), "origin": F.when(known, integrity.gzip_origin(b, F.col("mtime"), F.col("os"), F.col("flg")))})
+    return rows.groupBy("kind", "profile", "origin").agg(F.sum("text_bytes").alias("text_bytes"))
+
+
 # -- names and pairs -------------------------------------------------------------------------------------------
 
 
@@ -203,6 +249,21 @@ def id_numeric_delta(r):
     return rows.join(before, "ordinal", "left").select("ordinal", (F.col("v") - F.col("u")).alias("delta"))
 
 
+_CODES = """each_token AS (SELECT ordinal, unnest(range(1, len(ts) + 1)) AS i, ts FROM (SELECT ordinal, regexp_extract_all(id, '([0-9A-Za-z]+|[^0-9A-Za-z]+)', 1) AS ts FROM reads)),
+prior AS (SELECT ordinal, i, ts[i] AS token, lag(ts[i]) OVER (PARTITION BY ordinal // 10000, i ORDER BY ordinal) AS before FROM each_token),
+stepped AS (SELECT *, CASE WHEN regexp_matches(token, '^(0|[1-9][0-9]{0,8})$') AND regexp_matches(before, '^(0|[1-9][0-9]{0,8})$') THEN token::BIGINT - before::BIGINT END AS step FROM prior)"""
+
+
+@query("SELECT ordinal, (i - 1)::INT AS place, CASE WHEN token = before THEN '=' WHEN step >= 0 THEN '+' || step ELSE '.' || token END AS code FROM stepped", _CODES.replace("token::BIGINT", "try_cast(token AS BIGINT)").replace("before::BIGINT", "try_cast(before AS BIGINT)"))
+def id_codes(r):
+    return ids.coded(r.select("ordinal", "id"))
+
+
+@query("SELECT ordinal, id FROM reads")
+def id_decode(r):
+    return ids.decoded(materialize(ids.coded(r.select("ordinal", "id")), "codes"))
+
+
 def named_pairs(r: DataFrame) -> DataFrame:
     a = F.when(F.col("ordinal") % 4 == 0, F.concat(F.lit("@P"), F.col("ordinal").cast("string"), F.lit("/1"))).otherwise(F.col("id"))
     b = F.when(F.col("ordinal") % 4 == 0, F.concat(F.lit("@P"), F.col("ordinal").cast("string"), F.lit("/2"))).when(F.col("ordinal") % 4 == 1, F.col("id")).when(F.col("ordinal") % 4 == 2, F.replace(F.col("id"), F.lit(" 1:"), F.lit(" 2:"))).otherwise(F.concat(F.col("id"), F.lit("x")))
@@ -395,6 +456,26 @@ def assay_call(r):
     return stats.assay_call(lanes(r))
 
 
+_DETAIL = f"""lk AS (SELECT least(w, {_RC('w')}) AS kmer FROM (SELECT substr(upper(seq), i::INT, 17) AS w FROM (SELECT seq, unnest(range(1, length(seq) - 15, 10)) AS i FROM lanes)) WHERE NOT regexp_matches(w, '[^ACGT]')),
+lh AS (SELECT count(*) FILTER (label = 'EXON') AS exon, count(*) FILTER (label = 'PROMOTER') AS promoter, count(*) FILTER (label = 'INTRON_CTRL') AS intron FROM lk JOIN ref USING (kmer)),
+d1 AS (SELECT bisulfite_points AS b, atac_points + CASE WHEN promoter / (intron + 1) > 5 THEN 50 WHEN promoter / (intron + 1) > 2 THEN 25 ELSE 0 END AS ap, rna_points + CASE WHEN exon / (intron + 1) > 10 THEN 60 WHEN exon / (intron + 1) > 5 THEN 30 ELSE 0 END AS rp,
+  ar, pr, promoter / (intron + 1) > 5 AS pa, exon / (intron + 1) > 10 AS ea FROM call, pts, lh),
+d2 AS (SELECT *, CASE WHEN greatest(b, ap, rp) < 20 THEN 'dna' WHEN ap >= rp AND ap >= b THEN 'atac' WHEN rp >= b THEN 'rna' ELSE 'bisulfite' END AS a FROM d1),
+signs AS (SELECT concat_ws(', ', CASE WHEN (SELECT max(barcode_rate) FROM rates) > 0.5 THEN 'CB tags' END, CASE WHEN (SELECT max(umi_rate) FROM rates) > 0.5 THEN 'UMI tags' END,
+  CASE WHEN (SELECT median FROM medians WHERE lane = 'R1') <= 45 AND (SELECT median FROM medians WHERE lane = 'R2') - (SELECT median FROM medians WHERE lane = 'R1') >= 30 THEN 'read length asymmetry' END) AS t)"""
+
+
+# the reads are no bisulfite reads on any scale of the table: mates have no depleted base, which the SQL takes for granted
+@query("""SELECT CASE WHEN t <> '' AND a <> 'dna' THEN 'sc-' || a ELSE a END AS assay, 'N' AS depleted_1, 'N' AS depleted_2, false AS ternary, 'C' AS escape,
+  (CASE WHEN a = 'dna' THEN 'low' WHEN greatest(b, ap, rp) >= CASE WHEN a = 'rna' THEN 60 ELSE 70 END THEN 'high' ELSE 'medium' END) || ' (' ||
+  (CASE a WHEN 'dna' THEN 'default' WHEN 'atac' THEN concat_ws(', ', CASE WHEN ar > 0.05 THEN 'Tn5 adapters (>5%)' WHEN ar > 0.01 THEN 'Tn5 adapters' WHEN ar > 0.003 THEN 'Tn5 adapters (weak)' END, CASE WHEN pa THEN 'promoter alignment' END)
+    WHEN 'rna' THEN concat_ws(', ', CASE WHEN pr > 0.05 THEN 'poly-A/T tails (>5%)' WHEN pr > 0.015 THEN 'poly-A/T tails' END, CASE WHEN ea THEN 'exon alignment' END) ELSE '' END) || (CASE WHEN t <> '' AND a <> 'dna' THEN '; sc: ' || t ELSE '' END) || ')' AS confidence
+  FROM d2, signs""", LANES + ",\n" + _LANE + ",\n" + _CALL + ",\n" + _REFERENCE + ",\n" + _DETAIL)
+def assay_detail(r):
+    """The call with labelled k-mers as further evidence, in words."""
+    return stats.assay_detail(lanes(r), stats.reference_kmers(labelled(r)))
+
+
 # -- integrity and the archive ---------------------------------------------------------------------------------
 
 _MEMBERS = "members AS (SELECT 'block_' || (ordinal // 500) || '.txt' AS path, sha256(string_agg(seq || chr(10), '' ORDER BY ordinal)) AS sha256 FROM reads GROUP BY 1)"
@@ -460,6 +541,22 @@ def archive_roundtrip(r):
     return archive.read(spark, path)
 
 
+@query("SELECT lane, ordinal, id, upper(seq) AS seq, qual FROM lanes", LANES)
+def archive_transforms(r):
+    """Single-cell RNA whose reads give up barcodes, and names that follow from the mate's, and get them back."""
+    spark, path = r.sparkSession, scratch_path(r.sparkSession, "archive")
+    archive.write(lanes(r).withColumn("seq", F.upper("seq")), path, assay="sc-rna", cb_len=16, mate_names=True)
+    return archive.read(spark, path)
+
+
+@query("SELECT lane, id, upper(seq) AS seq, qual, (row_number() OVER (PARTITION BY lane ORDER BY s1, ordinal) - 1)::BIGINT AS ordinal FROM (SELECT l.*, upper(f.seq) AS s1 FROM lanes l JOIN lanes f ON l.ordinal = f.ordinal AND f.lane = 'R1')", LANES)
+def archive_unordered(r):
+    """RNA reads that give up their order, and with it their tails: mates stay together."""
+    spark, path = r.sparkSession, scratch_path(r.sparkSession, "archive")
+    archive.write(lanes(r).withColumn("seq", F.upper("seq")), path, drop="o", assay="rna")
+    return archive.read(spark, path)
+
+
 # -- contigs and overlaps --------------------------------------------------------------------------------------
 
 _VOTES = """votes AS (SELECT contig_id, pos + i - 1 AS place, substr(seq, i::INT, 1) AS base, count(*) AS n FROM (SELECT contig_id, pos, seq, unnest(range(1, length(seq) + 1)) AS i FROM reads) WHERE substr(seq, i::INT, 1) <> 'N' GROUP BY ALL),
@@ -482,6 +579,35 @@ def contig_offsets(r):
     return consensus.offsets(consensus.contigs(r))
 
 
+@query("SELECT contig_id, pos, ordinal, (row_number() OVER (ORDER BY contig_id, pos, ordinal) - 1)::BIGINT AS place FROM reads")
+def contig_sort(r):
+    return order.with_ordinal(consensus.by_place(r.select("contig_id", "pos", "ordinal")), [F.col("contig_id"), F.col("pos"), F.col("ordinal")], "place")
+
+
+@query("""SELECT contig_id, ordinal, pos // 16 AS by_place, (SELECT count(*) FROM reads b WHERE b.contig_id = a.contig_id AND b.pos // 64 < a.pos // 64) // 12 AS by_reads FROM shifted_reads a""".replace("reads b", "shifted_reads b"), "shifted_reads AS (SELECT contig_id, ordinal, pos + 64 * (ordinal % 5) AS pos FROM reads)")
+def contig_pieces(r):
+    """Where contigs of over 16 places, or 12 reads, would be cut."""
+    rows = r.select("contig_id", "ordinal", (F.col("pos") + 64 * (F.col("ordinal") % 5)).alias("pos"))
+    return consensus.cut(rows, 16, 12).select("contig_id", "ordinal", "piece.*")
+
+
+_STEPS = "steps AS (SELECT ordinal, ((ordinal * 1000003) % 200000)::BIGINT AS spot, spot - lag(spot) OVER (PARTITION BY ordinal // 10000 ORDER BY ordinal) AS step FROM reads)"
+
+
+def _placed(r: DataFrame) -> DataFrame:
+    return r.select("ordinal", ((F.col("ordinal") * 1000003) % 200000).alias("spot"))
+
+
+@query("SELECT ordinal, CASE WHEN step BETWEEN 0 AND 65534 THEN step ELSE 65535 END::INT AS delta, CASE WHEN step BETWEEN 0 AND 65534 THEN NULL ELSE spot END AS absolute FROM steps", _STEPS)
+def position_delta(r):
+    return order.position_deltas(_placed(r), "spot")
+
+
+@query("SELECT ordinal, spot FROM steps", _STEPS)
+def position_restore(r):
+    return order.positions(order.position_deltas(_placed(r), "spot"), "spot")
+
+
 def mutated(r: DataFrame) -> DataFrame:
     """Reads with some bases changed, beside their part of the contig."""
     ref = F.substring("contig", (F.col("pos") + 1).cast("int"), F.lit(60))
@@ -507,7 +633,7 @@ def noise_apply(r):
 
 @query("SELECT ordinal, substr(ctg.seq, (pos - first + 1)::INT, 60) AS bases FROM reads JOIN ctg USING (contig_id)", _CONTIGS)
 def contig_fetch(r):
-    c = consensus.contigs(r)
+    c = materialize(consensus.contigs(r), "contigs")
     placed = c.join(consensus.offsets(c), "contig_id")
     spans = r.join(placed.select("contig_id", "first", "start"), "contig_id").select("ordinal", (F.col("start") + F.col("pos") - F.col("first")).alias("start"), F.lit(60).alias("len"))
     return consensus.fetch(spans, placed.select("start", "seq"))
@@ -528,8 +654,9 @@ def low_diversity_chains(r):
     return overlap.chains(overlap.keyed(r, WINDOWS))
 
 
-_SHIFTED = " UNION ALL ".join(f"SELECT ordinal, seq, {d} AS dict, {s} AS shift, substr(seq, {a + s + 1}, {b - a + 1}) AS key FROM reads WHERE length(seq) > {b + s}" for d, (a, b) in enumerate(WINDOWS) for s in range(0, 6))
-_SHIFTED = f"shifted AS ({_SHIFTED})"
+MIDDLE, SHIFTS = overlap.middle_windows(60), overlap.shifts(60)
+_ROWS = lambda windows: ", ".join(f"({d}, {a}, {b})" for d, (a, b) in enumerate(windows))
+_SHIFTED = f"shifted AS (SELECT ordinal, dict, shift::INT AS shift, substr(seq, (a + shift + 1)::INT, b - a + 1) AS key FROM reads, (VALUES {_ROWS(MIDDLE)}) w(dict, a, b), range({len(SHIFTS)}) t(shift) WHERE length(seq) > b + shift)"
 
 
 @query("SELECT shift, dict, count(*) AS n, count(DISTINCT key) AS keys FROM shifted GROUP BY shift, dict", _SHIFTED)
@@ -549,9 +676,14 @@ def hamming_pairs(r):
     return a.join(b, "key").where("a < b").select("a", "b", overlap.bit_distance(F.col("x"), F.col("y")).alias("distance"))
 
 
-@query(f"""SELECT contig_id, ordinal, place, distance FROM (SELECT *, row_number() OVER (PARTITION BY contig_id, ordinal ORDER BY distance, place) AS k FROM (
-  SELECT c.contig_id, r.ordinal, c.place, {_BITS.replace('substr(x, i::INT', 'substr(c.seq, c.place + i::INT').replace('(y,', '(r.seq,')} AS distance
-  FROM (SELECT contig_id, seq, unnest(range(0, length(seq) - 59))::INT AS place FROM (SELECT DISTINCT contig_id, contig AS seq FROM reads)) c JOIN reads r ON substr(c.seq, c.place + 1, 21) = substr(r.seq, 1, 21)) WHERE distance <= 24) WHERE k = 1""")
+_BITS3 = "coalesce(list_sum(list_transform(range(1, length(y) + 1), lambda i: bit_count(xor(translate(substr(x, spot + i::INT, 1), 'AGCTN', '02461')::INT, translate(substr(y, i::INT, 1), 'AGCTN', '02461')::INT)))), 0)::INT"
+_ABSORBED = f"""ways AS (SELECT contig_id, 'd' AS orientation, seq AS x FROM (SELECT DISTINCT contig_id, contig AS seq FROM reads) UNION ALL SELECT contig_id, 'r', {_RC('contig')} FROM (SELECT DISTINCT contig_id, contig FROM reads)),
+looks AS (SELECT contig_id, orientation, x, dict, spot::INT AS spot, substr(x, (spot + a + 1)::INT, b - a + 1) AS key FROM (SELECT *, unnest(range(0, length(x) - b)) AS spot FROM ways, (VALUES {_ROWS(WINDOWS)}) w(dict, a, b))),
+met AS (SELECT contig_id, ordinal, orientation, x, k.seq AS y, spot FROM looks JOIN keyed k USING (dict, key) WHERE spot + length(k.seq) <= length(x)),
+measured AS (SELECT contig_id, ordinal, orientation, CASE WHEN orientation = 'r' THEN length(x) - spot - length(y) ELSE spot END::INT AS place, {_BITS3} AS distance FROM met)"""
+
+
+@query("SELECT contig_id, ordinal, place, orientation, distance FROM (SELECT *, row_number() OVER (PARTITION BY contig_id, ordinal ORDER BY distance, place, orientation) AS k FROM measured WHERE distance <= 24) WHERE k = 1", _KEYED + ",\n" + _ABSORBED)
 def absorb_candidates(r):
     return overlap.absorbed(r.select("contig_id", F.col("contig").alias("seq")).distinct(), r, WINDOWS)
 
