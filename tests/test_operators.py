@@ -313,3 +313,103 @@ def test_shift_candidates_have_every_shift(spark, monkeypatch):
     assert {w[0] for w in want} == set(range(30))
     monkeypatch.setattr(catalog, "reads", lambda spark, sf_dir: spark.createDataFrame([], "ordinal long, seq string"))
     assert catalog.QUERIES["shift_candidates"](spark, "").collect() == []
+
+
+@pytest.mark.parametrize("compression", ["none", "gzip", "bgzf"])
+@pytest.mark.parametrize("eol", [False, True])
+def test_ranges_read_every_record_once(spark, tmp_path, compression, eol):
+    """Ranges far smaller than a record's lines, over several files, with their numbers across these."""
+    rows = [(i, f"@r{i}", "ACGTN"[: 1 + i % 5] * (1 + i % 40)) for i in range(700)]
+    reads = spark.createDataFrame(rows, "ordinal long, id string, seq string").withColumn("qual", F.repeat(F.lit("@"), F.length("seq")))
+    path = f"file://{tmp_path}/out"
+    fastx.write(reads.repartition(3).select("ordinal", fastx.fastq(F.col("id"), F.col("seq"), F.col("qual"), True, eol).alias("record")), path, compression, 1)
+    for size in (37, 1000, 1 << 20):
+        got = sorted((r.ordinal, r.id, r.seq, r.crlf) for r in fastx.read(spark, path, "fastq", across=True, size=size).collect())
+        assert got == [(*r, eol) for r in rows]
+    fastx.write(reads.select("ordinal", fastx.fasta(F.col("id"), F.col("seq"), eol).alias("record")), f"{path}2", compression)
+    assert sorted((r.ordinal, r.id, r.seq) for r in fastx.read(spark, f"{path}2", "fasta", across=True, size=50).collect()) == rows
+
+
+def test_names_of_groups_and_archives():
+    assert fastx.grouped_names({"R1": "a.fastq.gz", "R2": "a.fastq.gz", "I1": "b"}) == {"R1": "a.R1.fastq.gz", "R2": "a.R2.fastq.gz", "I1": "b"}
+    assert fastx.decompressed_names("x/run.sp", [], True) == ["run.R1", "run.R2"] and fastx.decompressed_names("run.sp", ["o"], True) == ["o.R1", "o.R2"]
+    assert fastx.decompressed_names("run.sp", [], False, ["a.fq"], [True]) == ["a.fq.gz"] and fastx.decompressed_names("run.sp", [], False, ["a.fq.gz"], [True], unzip=True) == ["a.fq"]
+    for bad in ("/a", "c:x", "", "a/../b"):
+        with pytest.raises(fastx.FormatError):
+            fastx.check_members([bad])
+
+
+def test_archive_gives_back_what_it_takes_off(spark, tmp_path):
+    """Tails, adapters and barcodes, in either case, with short reads, names that follow and names that don't."""
+    seqs = ["ACGTACGTACGTACGTAA" + "C" * 9 + "A" * 25, "ACGT" * 6 + "t" * 30, "A" * 40, "ACG", "", "ACGT" * 5 + "CTGTCTCTTATACACATCT", "ACGT" * 5 + "ctgtctcttatacacatct", "GG" + "A" * 20 + "t"]
+    rows = [(lane, i, f"@x{i}{'/1' if lane == 'R1' else '/2' if i % 3 else '/9'}", s, "I" * len(s)) for lane in ("R1", "R2") for i, s in enumerate(seqs * 80)]
+    reads = spark.createDataFrame(rows, "lane string, ordinal long, id string, seq string, qual string")
+    for k, more in enumerate(({"assay": "sc-rna", "mate_names": True}, {"assay": "rna", "drop": "o"}, {"assay": "atac"}, {"assay": "sc-rna", "confidence": "medium (x)"})):
+        path = f"file://{tmp_path}/a{k}"
+        archive.write(reads, path, **more)
+        back = archive.read(spark, path)
+        got = [(r.lane, r.id, r.seq, r.qual, r.ordinal) for r in back.collect()]
+        assert sorted(g[:4] for g in got) == sorted((r[0], *r[2:]) for r in rows)
+        assert archive.audit(spark, path)["passed"] and set(archive.metadata(spark, path)["transforms"]) == [{"barcode", "mate_names"}, {"tails"}, {"adapters"}, set()][k]
+        mates = {}
+        for g in got:
+            mates.setdefault(g[4], []).append(g[1].split("/")[0])
+        assert all(len(m) == 2 and m[0] == m[1] for m in mates.values()) and sorted(mates) == list(range(640))
+        first = [g[2] for g in sorted(got, key=lambda g: g[4]) if g[0] == "R1"]
+        assert (first == sorted(first)) == ("o" in more.get("drop", ""))
+    assert sorted((r.id, r.seq) for r in archive.read(spark, f"file://{tmp_path}/a0", ["R2"]).collect()) == sorted((r[2], r[3]) for r in rows if r[0] == "R2")
+
+
+def test_lanes_plan_and_policy():
+    from helixframe.functions import tails
+
+    for bad in ({"R2"}, {"R1", "R3"}, {"R1", "I1"}, {"R1", "R2", "I2"}, {"R1", "X"}):
+        with pytest.raises(archive.ArchiveError):
+            archive.check_lanes(bad)
+    assert archive.storage_plan(1 << 30, 6 << 30)["fits"] and not archive.storage_plan(1 << 30, (6 << 30) - 1)["fits"] and archive.storage_plan(0, 1 << 20)["margin"] == 512 << 20
+    may = lambda *a, **k: tails.may_strip_barcodes("sc-rna", *a, **k)
+    assert may("N/A", False, True, 16, False) and may("high (x)", False, True, 16, True) and not may("high (x)", False, True, 16, False)
+    assert not may("N/A", True, True, 16, True) and not may("N/A", False, False, 16, True) and not may("N/A", False, True, 0, True) and not may("N/A", False, True, 16, True, note="index-group")
+
+
+def test_names_and_positions_are_decoded(spark):
+    from helixframe.functions import ids
+
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["@a.{}", "@a.{}:{}", "{}", "", "@b 00{}"]).format(rng.randint(0, 30), i)) for i in [*range(400), *range(9_950, 10_050)]]
+    names = spark.createDataFrame(rows, "ordinal long, id string").repartition(3)
+    assert sorted(map(tuple, ids.decoded(ids.coded(names)).collect())) == sorted(r for r in rows if r[1])
+    places = [(i, rng.choice([0, 5, 65_534, 65_535, 70_000, 10**12, i])) for i in range(9_900, 10_100)]
+    back = order.positions(order.position_deltas(spark.createDataFrame(places, "ordinal long, p long"), "p"), "p")
+    assert sorted((r.ordinal, r.p) for r in back.collect()) == places
+
+
+def test_contig_cuts_and_long_gaps(spark):
+    placed = spark.createDataFrame([(1, 10, "ACG"), (1, 500, "TT"), (1, 63, "GGG"), (2, 0, "A")], "contig_id long, pos long, seq string")
+    got = {r.contig_id: (r.first, r.seq) for r in consensus.contigs(placed).collect()}
+    assert got == {1: (10, "ACG" + "N" * 50 + "GGG" + "N" * 434 + "TT"), 2: (0, "A")}
+    cut = consensus.cut(placed, 100, 2).select("contig_id", "pos", "piece.*").collect()
+    assert sorted(map(tuple, cut)) == [(1, 10, 0, 0), (1, 63, 0, 0), (1, 500, 5, 1), (2, 0, 0, 0)]
+
+
+def test_chains_of_a_hot_key(spark):
+    rows = [(i, "A" * 60 if i % 10 else "C" * 60) for i in range(3000)]
+    want = {i: (i - 1 if (i - 1) % 10 or i < 2 else i - 2) if i % 10 else i - 10 for i in range(3000)}
+    got = overlap.chains(overlap.keyed(spark.createDataFrame(rows, "ordinal long, seq string").repartition(7), [(0, 20)])).collect()
+    assert {r.ordinal: -1 if r.before is None else r.before for r in got} == {i: -1 if i in (0, 1) else w for i, w in want.items()}
+
+
+def test_assay_in_words(spark):
+    """Depleted bases decide how bisulfite reads are coded; labelled k-mers speak too."""
+    low = "ATTTATTTATTATTTG" * 5
+    reads = _lane(spark, "R1", [low] * 60).unionByName(_lane(spark, "R2", [low] * 60))
+    r = stats.assay_detail(reads).first()
+    assert (r.assay, r.confidence, r.depleted_1, r.depleted_2, r.ternary, r.escape) == ("bisulfite", "high (R1 C-depletion, R2 C-depletion)", "C", "C", True, "C")
+    other = low.translate(str.maketrans("ACGT", "TGCA"))
+    r = stats.assay_detail(_lane(spark, "R1", [low] * 60).unionByName(_lane(spark, "R2", [other] * 60))).first()
+    assert (r.depleted_1, r.depleted_2, r.ternary, r.escape) == ("N", "N", False, "C") and r.confidence == "high (R1 C-depletion, R2 G-depletion)"
+    plain = "ACGTTGCAACGGTCATTGCCAGATCGATTACG" * 2
+    reads = _lane(spark, "R1", [plain] * 60).unionByName(_lane(spark, "R2", [plain] * 60))
+    exons = stats.reference_kmers(spark.createDataFrame([("EXON", plain)], "label string, seq string"))
+    assert stats.assay_detail(reads, exons, explicit=True).first().confidence == "high (exon alignment; sc: explicit lanes)"
+    assert stats.assay_detail(reads).first().confidence == "low (default)"
