@@ -238,7 +238,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, shingle: int
     size keeps most other texts from the shuffle."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     first = keep(firsts.join(wanted.hint("merge"), "node"), "texts")
-    texts = docs.select("id", "h", "text").where(passing(first.select("h"))("h")).join(first.hint("merge"), ["id", "h"]).dropDuplicates(["node"]).select("node", "text")
+    # a text has one set; rows that repeat it go by its own key, so that the joins by node are of plain shuffles, in which adaptive execution splits hot nodes
+    texts = docs.select("id", "h", "text").where(passing(first.select("h"))("h")).join(first.hint("merge"), ["id", "h"]).dropDuplicates(["id", "h"]).select("node", "text")
     both = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")).hint("merge"), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")).hint("merge"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
